@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that a broadcast may have.
+SMALL = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +42,8 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, a written table of a few numbers a row, to be broadcast if it has no more than `most` rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
