@@ -150,8 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = table["y"].to_numpy()
     half = (tk.mix(table["doc_id"].to_numpy().astype(np.uint64)) & np.uint64(1)).astype(bool)
-    data, offsets = tk.buffers(table["text"])
-    stem, counts = stems(data, offsets)
+    # piece by piece, as the kernels take several times the bytes of what they work on
+    parts = [stems(piece, own) for _, _, piece, own in tk.pieces(*tk.buffers(table["text"]))] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    stem, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    table = table.drop(["text"])
     ends = np.cumsum(counts)
     if not all(((y == c) & (half == h)).any() for c in (0, 1) for h in (False, True)):
         return None
