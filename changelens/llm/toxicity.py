@@ -9,8 +9,8 @@ the largest, second largest and mean difference of a text gives its score.
 
 Training samples are the codes of stems that one class has clearly more often
 than the other (lower bound of the log odds over document counts), from at most
-SAMPLE labelled rows of each class, half for the dictionaries and half for the
-curve; the sample is the rows of least hash of the document id, whatever the
+SAMPLE labelled rows of each class; the curve is fitted to each half scored by
+dictionaries of the other, and the model's dictionaries come from both.  The sample is the rows of least hash of the document id, whatever the
 size of the corpus, and rows of over SAMPLE_BYTES bytes are left out of it.
 
 Null text counts as empty.  A text without words scores as the mean ordinary
@@ -37,7 +37,9 @@ DICT_BYTES, LEVEL = 2048, 3
 #: Labelled rows of each class at most, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
 #: A stem marks a class from this lower bound of its log odds, in so many documents at least.
-ODDS, LEAST = 1.3, 6
+ODDS, LEAST = 1.0, 3
+#: Of the clearest stem's bound, what a stem has to have at least.
+CLEAR = 0.4
 THRESHOLD = 0.3
 
 
@@ -104,7 +106,8 @@ def marks(own: tuple, other: tuple, n_own: int, n_other: int, odds: float) -> np
     at = np.minimum(np.searchsorted(other[0], key), max(0, len(other[0]) - 1))
     m = np.where(other[0][at] == key, other[1][at], 0) if len(other[0]) else np.zeros(len(key))
     low = np.log((n + 0.5) / (n_own + 1)) - np.log((m + 0.5) / (n_other + 1)) - 2 * np.sqrt(1 / n + 1 / (m + 0.5))
-    return key[(low > odds) & (n >= LEAST)]
+    low = np.where(n >= LEAST, low, -np.inf)
+    return key[(low > odds) & (low >= CLEAR * low.max(initial=0.0))]
 
 
 def trained(stem: np.ndarray, counts: np.ndarray, keep: np.ndarray) -> bytes:
@@ -162,20 +165,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(rows)
         return stem[tk.gather(ends[at] - counts[at], counts[at])], counts[at]
 
-    toxic, ordinary = of((y == 1) & half), of((y == 0) & half)
-    a, b = document_counts(*toxic), document_counts(*ordinary)
-    n, m = len(toxic[1]), len(ordinary[1])
-    dictionaries = trained(*toxic, marks(a, b, n, m, ODDS)), trained(*ordinary, marks(b, a, m, n, 0.0))
-    x, full = features(*of(~half), *map(compressor, dictionaries))
-    target = y[~half]
+    def dictionaries(rows: np.ndarray) -> tuple[bytes, bytes]:
+        toxic, ordinary = of((y == 1) & rows), of((y == 0) & rows)
+        a, b = document_counts(*toxic), document_counts(*ordinary)
+        n, m = len(toxic[1]), len(ordinary[1])
+        return trained(*toxic, marks(a, b, n, m, ODDS)), trained(*ordinary, marks(b, a, m, n, 0.0))
+
+    # each half is scored by dictionaries of the other; the model's own come from both
+    folds = []
+    for part in (half, ~half):
+        x, full = features(*of(~part), *map(compressor, dictionaries(part)))
+        folds.append((x[full], y[~part][full]))
+    x, target = (np.concatenate(z) for z in zip(*folds, strict=True))
     share = float(known.agg(F.avg("y")).first()[0])
-    w = curve(x[full], target[full].astype(float)) if full.any() else np.zeros(4)
+    w = curve(x, target.astype(float)) if len(x) else np.zeros(4)
     # from the shares of the classes in the sample to those in the labels
-    seen = float(target.mean())
+    seen = float(target.mean()) if len(x) else share
     if 0 < share < 1 and 0 < seen < 1:
         w[-1] += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
-    plain = x[full & (target == 0)]
-    return Model(*dictionaries, w, plain.mean(0) if len(plain) else np.zeros(3))
+    plain = x[target == 0]
+    return Model(*dictionaries(np.ones(len(y), bool)), w, plain.mean(0) if len(plain) else np.zeros(3))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
