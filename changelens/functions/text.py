@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from . import fixed as X
 
@@ -82,7 +83,7 @@ def osa_distance(a: str, b: str) -> int:
     return old[-1]
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
