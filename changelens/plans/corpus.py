@@ -70,11 +70,11 @@ PROMPTS = """select o_orderkey as audit_id, case cast(o_orderkey % 8 as int)
 
 #: (entry_id, agent, task, file, score, findings_count, at, contract_id)
 LEDGER = """select event_id as entry_id, 'agent' || cast(user_id % 40 as varchar(20)) as agent, event_type || ' task' as task, 'src/m' || cast(event_id % 20 as varchar(20)) || '.ts' as file,
- case when value > 80 then 'HIGH' when value > 35 then 'MEDIUM' else 'LOW' end as score, cast(floor(value) as bigint) as findings_count, ts as at, case when event_id % 10 < 7 then 'c' || cast(event_id % 3000 as varchar(20)) end as contract_id from events"""
+ case when value > 80 then 'HIGH' when value > 35 then 'MEDIUM' else 'LOW' end as score, cast(floor(value) as bigint) as findings_count, ts as happened, case when event_id % 10 < 7 then 'c' || cast(event_id % 3000 as varchar(20)) end as contract_id from events"""
 
 #: (op_id, root, file, agent, op, at): claims on files, releases, extensions
 CLAIM_EVENTS = """select event_id as op_id, 'root' || cast(user_id % 5 as varchar(20)) as root, 'src/m' || cast((event_id * 7 + user_id) % 23 as varchar(20)) || '.ts' as file, 'agent' || cast(user_id % 12 as varchar(20)) as agent,
- case event_type when 'purchase' then 'release' when 'click' then 'extend' else 'claim' end as op, ts as at from events"""
+ case event_type when 'purchase' then 'release' when 'click' then 'extend' else 'claim' end as op, ts as happened from events"""
 
 #: (id, parent_id, root_seq, item): contracts of a customer's orders, the parent the one before
 CONTRACTS = """select o_orderkey as id, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as parent_id, o_custkey as owner, o_orderdate as issued_at from orders"""
@@ -98,6 +98,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for c in ("() {", "= {", "}'"):
         sql = sql.replace(c, c.replace("{", "\0").replace("}", "\1"))
     made = spark.sql(sql.replace("\0", "{{").replace("\1", "}}"), **frames)
+    if "happened" in made.columns:  # a reserved word in some dialects
+        made = made.withColumnRenamed("happened", "at")
     # the exchange that every later window, aggregate and join on audit_id uses; it also keeps the long expressions of the corpus out of the operators' stages
     return made.repartition("audit_id") if name in ("lines", "entries", "prompts") else made
 

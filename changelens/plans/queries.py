@@ -120,6 +120,10 @@ each as ({' union all '.join(f"select audit_id, line_no * 16 + {n} as pos, '{kin
 surface as (select audit_id, kind, item, min(pos) as first from each where item is not null group by 1, 2, 3)"""
 
 
+def _moment(at):
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def _scan(spark: SparkSession, d: str) -> DataFrame:
     return diff.scan(view(spark, d, "lines"))
 
@@ -300,14 +304,15 @@ _WORDS = lambda words: "(" + " or ".join(f"contains(said, {_lit(w)})" for w in w
 _FUZZY_IN = lambda fields: f"exists (select 1 from en e where {_E(fields)} and {_fuzzy('s.a', 'e.b')})"
 _LEAF = f"exists (select 1 from en e where {_E(['endpoints'])} and length(leaf) >= 3 and (s.a = leaf or (contains(s.a, leaf) and length(leaf) >= length(s.a) * 0.7)))"
 _COVER = f"""
-member as (select distinct s.audit_id, s.item from s join entries e on {_E(['files', 'features'])} cross join lateral (select {_MEMBER_ROW}) m where s.kind = 'file' and {_MEMBER}),
+member as (select distinct audit_id, item from (select audit_id, item, {_MEMBER_ROW} from (select s.audit_id, s.item, e.entry from s join entries e on {_E(['files', 'features'])} where s.kind = 'file')) where {_MEMBER}),
 eps as (select distinct audit_id, c from (select audit_id, {_ep('entry')} as c from entries where field = 'endpoints' union all select audit_id, {_ep(_PATH)} from entries where field = 'endpoints') where c <> ''),
-inside as (select distinct s.audit_id, s.item from s join en e on {_E(['features', 'behavioral'])} where s.kind = 'symbol' and {_IN.replace('(a ', '(s.a ').replace('length(a)', 'length(s.a)').replace('(b, a)', '(e.b, s.a)').replace('length(b)', 'length(e.b)').replace('substr(b', 'substr(e.b').replace('and b <>', 'and e.b <>').replace('levenshtein(a, s)', 'levenshtein(s.a, s)').replace('lambda s: damerau_levenshtein(s.a, s)', 'lambda z: damerau_levenshtein(s.a, z)')}),
+inside as (select distinct audit_id, item from (select s.audit_id, s.item, s.a, e.b from s join en e on {_E(['features', 'behavioral'])} where s.kind = 'symbol') where {_IN}),
+routed as (select distinct audit_id, item from (select s.audit_id, s.item, s.p as a, eps.c from s join eps using (audit_id) where s.kind = 'endpoint') where {_EP_MATCH}),
 cover as (select s.*, case kind
  when 'file' then not exists (select 1 from entries e where {_E(['files'])}) or {' or '.join(_is('s.item', p) for p in X.SUPPORT_FILES)} or exists (select 1 from member m where m.audit_id = s.audit_id and m.item = s.item)
  when 'dep' then exists (select 1 from entries e where {_E(['deps'])} and lower(e.entry) = lower(s.item)) or {_FUZZY_IN(['deps', 'features', 'endpoints', 'env', 'behavioral'])}
  when 'env' then exists (select 1 from entries e where {_E(['env'])} and lower(e.entry) = lower(s.item)) or {_FUZZY_IN(['env'])}
- when 'endpoint' then exists (select 1 from eps where eps.audit_id = s.audit_id and {_EP_MATCH.replace('a ', 's.p ').replace('(a)', '(s.p)').replace('(a,', '(s.p,').replace('(c,', '(eps.c,').replace('(c)', '(eps.c)').replace('= c ', '= eps.c ')})
+ when 'endpoint' then exists (select 1 from routed n where n.audit_id = s.audit_id and n.item = s.item)
  when 'cron' then {_WORDS(X.CRON_KEYWORDS)} or {_FUZZY_IN(['features', 'behavioral'])}
  when 'listener' then {_WORDS(X.LISTENER_KEYWORDS)} or {_FUZZY_IN(['features', 'behavioral'])}
  when 'symbol' then length(item) < 5 or {_FUZZY_IN(['features', 'behavioral', 'files'])} or exists (select 1 from inside n where n.audit_id = s.audit_id and n.item = s.item) or {_LEAF} end as covered from s)"""
@@ -415,3 +420,309 @@ def _(spark, d):
 
 for _k, (_p, _, _) in enumerate(X.RULES, 1):
     query(f"b{_k:02d}_{_p.replace('-', '_')}", f"with {_IMPACT} select audit_id, files from warned where pattern = '{_p}'")(lambda spark, d, p=_p: _warnings(spark, d).where(F.col("pattern") == p).select("audit_id", F.array_join("files", "|").alias("files")))
+
+
+# --- D, L: scopes from prompts ---------------------------------------------------
+
+_P = f"p as ({corpus.PROMPTS})"
+_ALL = lambda p, g=1: f"regexp_extract_all(prompt, {_lit(p)}, {g})"
+_UNIQUE = lambda x: f"list_filter({x}, lambda z, i: list_position({x}, z) = i)"
+
+
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    return scope.extract(view(spark, d, "prompts"))
+
+
+_D = {
+    "endpoints": f"list_filter(list_transform({_ALL(X.PROMPT_ENDPOINT)}, lambda e: trim(e)), lambda e: length(e) > 1 and not regexp_matches(e, '^/[a-z]$'))",
+    "env": f"list_filter({_ALL(X.PROMPT_ENV)}, lambda v: length(v) >= 4)",
+    "deps": f"list_concat(list_filter(list_transform({_ALL(X.PROMPT_DEP)}, lambda e: lower(e)), lambda e: length(e) >= 2 and e not in {_list(X.PROMPT_NOT_DEPS)}), list_filter(regexp_split_to_array(lower(prompt), '[^a-z0-9@._/-]+'), lambda w: w in {_list(X.KNOWN_PACKAGES)}))",
+}
+for _name, _field in {"d02_endpoints": "endpoints", "d04_env": "env", "d05_dependencies": "deps"}.items():
+    query(_name, f"with {_P}, l as (select audit_id, {_D[_field]} as v from p) select audit_id, array_to_string({_UNIQUE('v')}, '|') as items from l")(lambda spark, d, f=_field: _extracted(spark, d).select("audit_id", F.array_join(f, "|").alias("items")))
+
+
+@query("d01_files", f"with {_P}, l as (select audit_id, list_concat({_ALL(X.PROMPT_FILE_EXT, 0)}, {_ALL(X.PROMPT_FILE_DIR, 0)}) as v, {_D['endpoints']} as e from p) select audit_id, array_to_string(list_filter({_UNIQUE('v')}, lambda f: not list_contains(e, f) and not list_contains(e, '/' || f)), '|') as items from l")
+def _(spark, d):
+    return _extracted(spark, d).select("audit_id", F.array_join("files", "|").alias("items"))
+
+
+@query("d06_scheduled", f"with {_P} select audit_id, len({_ALL(X.PROMPT_CRON)}) as n from p")
+def _(spark, d):
+    return _extracted(spark, d).select("audit_id", F.size(F.filter("behavioral", lambda b: F.endswith(b, F.lit(" (scheduled task)")))).cast("long").alias("n"))
+
+
+@query("d07_behavioral", f"with {_P}, l as (select audit_id, {_ALL(X.PROMPT_CRON)} as c, list_transform({_ALL(X.PROMPT_BEHAVIOR)}, lambda v: lower(v)) as b from p) select audit_id, array_to_string(list_concat(list_transform(c, lambda v: v || ' (scheduled task)'), {_UNIQUE('b')}), '|') as items from l")
+def _(spark, d):
+    return _extracted(spark, d).select("audit_id", F.array_join("behavioral", "|").alias("items"))
+
+
+_REST = "prompt"
+for _pat, _by in ((X.PROMPT_FILE_EXT, ""), (X.PROMPT_FILE_DIR, ""), (X.PROMPT_ENDPOINT, " "), (X.PROMPT_ENV, ""), (X.PROMPT_DEP, ""), (X.PROMPT_CRON, ""), (X.PROMPT_BEHAVIOR, "")):
+    _REST = f"regexp_replace({_REST}, {_lit(_pat)}, '{_by}', 'g')"
+_CLEAN = f"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, {_lit(X.PHRASE_LEAD)}, ''), {_lit(X.PHRASE_TAIL)}, ''), {_lit(X.PHRASE_PAIRS)}, ' ', 'g'), '\\s*/\\s*', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+@query(
+    "d09_features",
+    f"with {_P}, r as (select audit_id, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace({_REST}, '\\s+', ' ', 'g')), '[.;,\\n]+'), lambda c: trim(c)), lambda c: length(c) > 3) as cl from p), "
+    f"k as (select audit_id, list_filter(list_transform(cl, lambda c: {_CLEAN}), lambda c: length(c) >= 4 and len(regexp_split_to_array(c, '\\s+')) <= 8 and c not in {_list(X.PHRASE_NOTHING)}) as kept from r), "
+    f"m as (select audit_id, list_filter(list_transform(kept, lambda c: array_to_string(list_filter(regexp_split_to_array(c, '\\s+'), lambda w: length(w) > 1 and w not in {_list(X.PHRASE_STOP)}), ' ')), lambda c: c <> '') as v from k) select audit_id, array_to_string({_UNIQUE('v')}, '|') as items from m",
+)
+def _(spark, d):
+    return _extracted(spark, d).select("audit_id", F.array_join("features", "|").alias("items"))
+
+
+@query("l01_chunks")
+def _(spark, d):
+    corpus.ship(spark)
+    return scope.chunks(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("audit_id"), F.col("text").alias("prompt")))
+
+
+@query("l03_merged", f"with {_ENTRIES}, n as (select *, {_norm('entry')} as n from entries), f as (select * from (select *, row_number() over (partition by audit_id, field, n order by pos) as k from n where n <> '') where k = 1) select audit_id, field, entry from f a where not exists (select 1 from f b where a.audit_id = b.audit_id and a.field = b.field and contains(b.n, a.n) and length(b.n) > length(a.n))")
+def _(spark, d):
+    return scope.merged(view(spark, d, "entries")).select("audit_id", "field", "entry")
+
+
+@query("l04_scope_difference", f"with {_ENTRIES}, n as (select audit_id, field, entry, pos, {_norm('entry')} as n from entries), a as (select * from n where pos <= 3), b as (select * from n where pos >= 2) select distinct audit_id, field, entry, 'added' as change from b where not exists (select 1 from a where a.audit_id = b.audit_id and a.field = b.field and a.n = b.n) union select distinct audit_id, field, entry, 'removed' from a where not exists (select 1 from b where a.audit_id = b.audit_id and a.field = b.field and a.n = b.n)")
+def _(spark, d):
+    e = view(spark, d, "entries")
+    return scope.difference(e.where("pos <= 3"), e.where("pos >= 2"))
+
+
+@query("l05_parsed_replies", "select o_orderkey as audit_id, 'a' || o_custkey || '.ts|b' as files, case when o_orderkey % 2 = 0 then 'zod' else '' end as deps from orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    inner = F.concat(F.lit('{"files_allowed": ["a'), F.col("o_custkey").cast("string"), F.lit('.ts", "b", ""]'), F.when(F.col("o_orderkey") % 2 == 0, F.lit(', "deps_allowed": ["zod"]')).otherwise(F.lit("")), F.lit("}"))
+    body = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"scope": '), inner, F.lit("}"))).otherwise(inner)
+    rows = o.select(F.col("o_orderkey").alias("audit_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("reply"))
+    return scope.parse_json(rows).select("audit_id", F.array_join("scope.files_allowed", "|").alias("files"), F.array_join("scope.deps_allowed", "|").alias("deps"))
+
+
+# --- K: contracts ------------------------------------------------------------------
+
+
+@query("k04_contract_ids", "select o_orderkey as id, substr(sha256('p' || o_orderkey || o_orderpriority || '1.0'), 1, 32) as contract_id, substr(sha256('p' || o_orderkey), 1, 16) as prompt_hash from orders")
+def _(spark, d):
+    prompt = F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), contracts.contract_id(prompt, F.col("o_orderpriority"), F.lit(None).cast("string")).alias("contract_id"), contracts.prompt_hash(prompt).alias("prompt_hash"))
+
+
+@query("k05_chains", f"with recursive c as ({corpus.CONTRACTS}), r as (select id, 0 as depth, '' as chain from c where parent_id is null union all select c.id, r.depth + 1, r.chain || case when r.chain = '' then '' else '>' end || c.parent_id from c join r on c.parent_id = r.id) select id, depth, chain from r")
+def _(spark, d):
+    return contracts.chains(view(spark, d, "contracts")).select("id", "depth", F.array_join(F.transform("chain", lambda c: c.cast("string")), ">").alias("chain"))
+
+
+_ITEMS = f"c as ({corpus.CONTRACTS}), i as (select distinct o_orderkey as id, case when l_partkey % 2 = 0 then 'deps' else 'files' end as field, 'Part-' || (l_partkey % 50) as item from orders join lineitem on l_orderkey = o_orderkey)"
+_BEYOND = f"{_ITEMS}, ch as (select i.*, c.parent_id from i join c using (id)), b as (select id, parent_id, field, item from ch where parent_id is not null and not exists (select 1 from i p where p.id = ch.parent_id and p.field = ch.field and {_norm('p.item')} = {_norm('ch.item')}))"
+
+
+def _contract_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    parts = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_partkey") % 2 == 0, "deps").otherwise("files").alias("field"), F.concat(F.lit("Part-"), (F.col("l_partkey") % 50).cast("string")).alias("item"))
+    known = view(spark, d, "contracts").select("id", "parent_id")
+    parent = parts.join(known.select("id"), "id", "left_semi").distinct()
+    return parent.join(known, "id"), parent
+
+
+@query("k08_expansions", f"with {_BEYOND} select id, field, item, not exists (select 1 from i p where p.id = b.parent_id) as advisory from b")
+def _(spark, d):
+    return contracts.expansions(*_contract_items(spark, d)).select("id", "field", "item", "advisory")
+
+
+@query("k09_narrowing", f"with {_BEYOND}, k as (select distinct id, parent_id from ch where parent_id is not null), n as (select id, count(*) as n from b group by 1) select k.id, coalesce(n, 0) as expansions, n is null as narrow, not exists (select 1 from i p where p.id = k.parent_id) as advisory from k left join n using (id)")
+def _(spark, d):
+    return contracts.narrowing(*_contract_items(spark, d)).select("id", "expansions", "narrow", "advisory")
+
+
+@query("k07_expired", "select o_orderkey as id, 'contract.expired' as kind, 'high' as severity from orders where o_orderdate < timestamp '1995-01-01'")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("parent_expires_at"))
+    return contracts.expired(rows, F.lit("1995-01-01").cast("timestamp"))
+
+
+@query("k01_scope_source", "select o_orderkey as audit_id, case when o_custkey % 3 = 0 then 'claim' when o_orderkey % 2 = 0 then 'override' else 'extraction' end as source, case when o_custkey % 3 = 0 then 'dsl' else 'inferred' end as mode, case when o_custkey % 3 = 0 then 1.0 else 0.85 end::double as confidence, o_custkey % 6 = 3 as claim_warning from orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    audits = o.select(F.col("o_orderkey").alias("audit_id"), F.col("o_custkey").alias("claim_id"), (F.col("o_orderkey") % 2 == 0).alias("has_override"))
+    known = o.select(F.col("o_custkey").alias("claim_id")).distinct().where("claim_id % 3 = 0").select("claim_id", F.when(F.col("claim_id") % 6 == 0, "locked").otherwise("completed").alias("status"))
+    return contracts.scope_source(audits, known)
+
+
+@query("k10_handoff", f"with l as ({corpus.LEDGER}) select entry_id, case when score = 'HIGH' then 'deny' when entry_id % 5 = 0 then 'flag' else 'allow' end as decision from l")
+def _(spark, d):
+    return contracts.handoff(view(spark, d, "ledger").withColumn("advisory_ok", F.col("entry_id") % 5 != 0)).select("entry_id", "decision")
+
+
+# --- G: ledger -----------------------------------------------------------------------
+
+_L = f"l as ({corpus.LEDGER})"
+
+
+@query("g02_appended", f"with {_L} select entry_id, agent, task from l where contract_id is null union all select min(entry_id), min_by(agent, entry_id), min_by(task, entry_id) from l where contract_id is not null group by contract_id")
+def _(spark, d):
+    return ledger.appended(view(spark, d, "ledger")).select("entry_id", "agent", "task")
+
+
+@query("g03_latest", f"with {_L} select entry_id, agent from l order by entry_id desc limit {ledger.CAP}")
+def _(spark, d):
+    return ledger.latest(view(spark, d, "ledger")).select("entry_id", "agent")
+
+
+@query("g04_by_file", f"with {_L} select entry_id from l where file = 'm3.ts' or ends_with(file, '/m3.ts')")
+def _(spark, d):
+    return ledger.by_file(view(spark, d, "ledger"), "m3.ts").select("entry_id")
+
+
+@query("g05_by_agent", f"with {_L} select entry_id from l where lower(agent) = 'agent7'")
+def _(spark, d):
+    return ledger.by_agent(view(spark, d, "ledger"), "AGENT7").select("entry_id")
+
+
+@query("g06_ownership", f"with {_L} select file, count(*) as n, string_agg(agent, '|' order by happened, entry_id) as agents from l group by 1")
+def _(spark, d):
+    return ledger.ownership(view(spark, d, "ledger")).select("file", "n", F.array_join(F.transform("history", lambda h: h["agent"]), "|").alias("agents"))
+
+
+@query("g07_last_seen", f"with {_L} select lower(agent) as agent, strftime(max(happened), '%Y-%m-%d %H:%M:%S.%f') as last_seen from l group by 1")
+def _(spark, d):
+    return ledger.last_seen(view(spark, d, "ledger")).select("agent", _moment("last_seen").alias("last_seen"))
+
+
+@query("g08_since", f"with {_L} select entry_id from l where happened > timestamp '2024-01-20'")
+def _(spark, d):
+    return ledger.since(view(spark, d, "ledger"), F.lit("2024-01-20").cast("timestamp")).select("entry_id")
+
+
+@query("g10_catch_up", f"with {_L}, o as (select agent, max(happened) as own from l group by 1) select agent, (select count(*) from l where l.happened > o.own) as missed from o")
+def _(spark, d):
+    return ledger.catch_up(view(spark, d, "ledger"))
+
+
+@query("g11_lines", f"with {_L} select entry_id, '[' || strftime(happened, '%Y-%m-%d %H:%M:%S') || '] ' || agent || ' — ' || task || ' (' || score || ', ' || findings_count || ' findings)' as line from l")
+def _(spark, d):
+    return ledger.lines(view(spark, d, "ledger"))
+
+
+# --- F, Z, R, I, Q: claims, conflicts, check-ins, gate ---------------------------------
+
+_FOLD = f"""with recursive e as ({corpus.CLAIM_EVENTS}), n as (select *, row_number() over (partition by root, file order by happened, op_id) as k from e),
+h as (select 0 as k, root, file, null::varchar as holder, null::timestamp as until, null::bigint as op_id, null::varchar as outcome, null::varchar as held_by from (select distinct root, file from e)
+ union all select n.k, n.root, n.file,
+  case when n.op = 'claim' then case when live and h.holder <> n.agent then h.holder else n.agent end when live and h.holder = n.agent then case when n.op = 'release' then null else n.agent end when live then h.holder end,
+  case when n.op = 'claim' then case when live and h.holder <> n.agent then h.until else n.happened + interval 2 hours end when live and h.holder = n.agent then case when n.op = 'release' then null else n.happened + interval 2 hours end when live then h.until end, n.op_id,
+  case when n.op = 'claim' then case when live and h.holder <> n.agent then 'conflict' else 'claimed' end when n.op = 'release' then case when live and h.holder = n.agent then 'released' else 'none' end else case when live and h.holder = n.agent then 'extended' else 'not_found' end end,
+  case when n.op = 'claim' and live and h.holder <> n.agent then h.holder end
+ from (select h.*, m.happened as now, h.holder is not null and not (h.until < m.happened) as live from h join n m on m.root = h.root and m.file = h.file and m.k = h.k + 1) h join n on n.root = h.root and n.file = h.file and n.k = h.k + 1)
+select op_id, outcome, held_by from h where k > 0"""
+
+
+def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = view(spark, d, "claim_events")
+    return claims.fold_file_claims(events), events
+
+
+@query("f02_file_claims", _FOLD)
+def _(spark, d):
+    return _folded(spark, d)[0].select("op_id", "outcome", "held_by")
+
+
+@query("f06_active_claims")
+def _(spark, d):
+    folded, events = _folded(spark, d)
+    as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    return claims.by_agent(claims.active(folded, events.where(F.col("at") <= as_of), as_of), as_of)
+
+
+@query("f05_recent_touches", f"with {_L} select distinct r.entry_id as request_id, r.file, t.agent, 'touched' as why from l r join l t on r.file = t.file and r.agent <> t.agent and t.happened > r.happened - interval 1 hour and t.happened <= r.happened where r.entry_id % 4 = 0")
+def _(spark, d):
+    entries = view(spark, d, "ledger")
+    requests = entries.where("entry_id % 4 = 0").select(F.col("entry_id").alias("request_id"), "file", "agent", "at")
+    none = entries.limit(0).select("file", "agent", F.col("at").alias("expires_at"))
+    return claims.conflicts(requests, none, entries.select("file", "agent", "task", "at"))
+
+
+@query("u01_expiry", "select event_id, strftime(case event_id % 4 when 0 then ts + interval 30 minutes when 1 then ts + interval 3 hours when 2 then ts + interval 2 days else ts + interval 2 hours end, '%Y-%m-%d %H:%M:%S.%f') as expires from events")
+def _(spark, d):
+    duration = F.element_at(F.array(F.lit("30m"), F.lit("3h"), F.lit("2d"), F.lit("soon")), (F.col("event_id") % 4 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", _moment(claims.expiry(duration, F.col("ts"))).alias("expires"))
+
+
+def _scope_events(spark: SparkSession, d: str) -> DataFrame:
+    e = view(spark, d, "claim_events")
+    op = F.when(F.col("op") == "release", "complete").when((F.col("op") == "extend") & (F.col("op_id") % 2 == 0), "renew").otherwise("claim")
+    files = F.array("file", F.concat(F.lit("src/x"), (F.col("op_id") % 9).cast("string")))
+    return e.select("op_id", "root", "agent", op.alias("op"), files.alias("files"), F.array(F.concat(F.lit("d"), (F.col("op_id") % 4).cast("string"))).alias("deps"), F.when(F.col("op_id") % 11 == 0, F.col("op_id") - 1).otherwise(F.lit(-1)).alias("parent"), "at")
+
+
+@query("z04_scope_claims")
+def _(spark, d):
+    return claims.fold_scope_claims(_scope_events(spark, d))
+
+
+@query("r01_conflict_records")
+def _(spark, d):
+    return claims.conflict_records(claims.fold_scope_claims(_scope_events(spark, d)))
+
+
+@query("i01_check_ins", f"with {_L} select agent, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') as moment, strftime(lag(happened) over (partition by agent order by happened), '%Y-%m-%d %H:%M:%S.%f') as previous from l where entry_id % 3 = 0")
+def _(spark, d):
+    rows = coordination.check_ins(view(spark, d, "ledger").where("entry_id % 3 = 0"))
+    return rows.select("agent", _moment("at").alias("moment"), _moment("previous").alias("previous"))
+
+
+@query("i04_check_in_delta", f"with {_L}, c as (select agent, happened, lag(happened) over (partition by agent order by happened) as previous from l where entry_id % 3 = 0) select agent, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') as moment, previous is null as first, case when previous is null then (select count(*) from l where l.happened <= c.happened and lower(l.agent) <> lower(c.agent)) else (select count(*) from l where l.happened <= c.happened and l.happened > c.previous) end as n from c")
+def _(spark, d):
+    entries = view(spark, d, "ledger")
+    found = coordination.delta_counts(coordination.check_ins(entries.where("entry_id % 3 = 0")), entries)
+    return found.select("agent", _moment("at").alias("moment"), "first", "n")
+
+
+@query("q02_gate", f"with {_L}, x as (select distinct entry_id % 500 as audit_id, file from l) select audit_id, count(*) as n_files, count(*) filter (file in ('src/m1.ts', 'src/m2.ts')) as n_blocked, count(*) filter (file not in (select file from l where entry_id % 100 = 7)) as n_unclaimed, count(*) filter (file in (select file from l where entry_id % 100 = 7)) as n_claimed, bool_or(file in ('src/m1.ts', 'src/m2.ts')) or count(*) filter (file not in (select file from l where entry_id % 100 = 7)) > 0 as blocked from x group by 1")
+def _(spark, d):
+    entries = view(spark, d, "ledger")
+    records = spark.sql("select array('src/m1.ts', 'src/m2.ts') as files, 'open' as status")
+    return coordination.gate(entries.select((F.col("entry_id") % 500).alias("audit_id"), "file").distinct(), records, entries.where("entry_id % 100 = 7"), strict=True)
+
+
+@query("v02_symbols", f"select p_partkey as file, 'part' || p_partkey as symbol, 1 as first from part")
+def _(spark, d):
+    text = F.concat(F.lit("x = 1\ndef part"), F.col("p_partkey").cast("string"), F.lit("(): pass\n"))
+    corpus.ship(spark)
+    return diff.symbols_of_files(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("file"), text.alias("text")))
+
+
+# --- T, W: telemetry -------------------------------------------------------------------
+
+_I = f"i as ({corpus.INITS})"
+
+
+@query("t01_events", f"with {_SCORES} select audit_id, score, n_findings as findings_count, coalesce((select string_agg(kind || '=' || n, ',' order by kind) from kinds k where k.audit_id = scored.audit_id), '') as kinds from scored")
+def _(spark, d):
+    actual = _actual(spark, d)
+    found = compare.findings(actual, _scope(spark, d))
+    rows = telemetry.events(found, compare.scores(found, actual))
+    return rows.select("audit_id", "score", "findings_count", F.array_join(F.transform(F.map_entries("finding_kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("kinds"))
+
+
+@query("t02_allowed", "select event_id, case when event_type in ('view', 'click') then event_type else 'unknown' end as kind from events")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", telemetry.allowed(F.col("event_type"), ["view", "click"]).alias("kind"))
+
+
+@query("w02_total", f"with {_I} select count(*) as count from i")
+def _(spark, d):
+    return telemetry.total(view(spark, d, "inits"))
+
+
+for _name, _key in {"w03_by_os": "os", "w04_by_version": "version", "w05_by_vendors": "vendors"}.items():
+    query(_name, f"with {_I} select {_key}, count(*) as count from i group by 1")(lambda spark, d, k=_key: telemetry.counts(view(spark, d, "inits"), k))
+
+
+@query("w06_recent", f"with {_I} select event_id, os, version from i order by received_at desc, event_id limit 20")
+def _(spark, d):
+    return telemetry.recent(view(spark, d, "inits")).select("event_id", "os", "version")
+
+
+@query("w07_daily", f"with {_I} select strftime(received_at, '%Y-%m-%d') as day, count(*) as count from i group by 1 order by 1 desc limit 30")
+def _(spark, d):
+    return telemetry.daily(view(spark, d, "inits")).select(F.col("day").cast("string").alias("day"), "count")
