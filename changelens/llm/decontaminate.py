@@ -29,7 +29,7 @@ from .fmindex import Index
 
 WINDOW = 10
 #: Text of the items that a task holds at once, and of the documents in a shard.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 
 
 class Phrases:
@@ -175,28 +175,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, out = batch.column(place), []
-            for a, _, data, offsets in tk.pieces(*tk.buffers(column), SHARD_BYTES):
+            column = batch.column(place)
+            for a, b, data, offsets in tk.pieces(*tk.buffers(column), SHARD_BYTES):
                 hashes, starts, ends, counts = tk.words(data, offsets, tk.ALNUM)
                 hit = np.zeros(len(hashes), bool)
                 for block in sent:
                     hit |= block.value.hits(hashes, counts)[0]
+                part = batch.slice(a, b - a)
+                if not hit.any():
+                    yield part
+                    continue
                 text = np.repeat(np.arange(len(counts)), counts)
-                joined = hit & np.append(False, hit[:-1] & (text[1:] == text[:-1])) if len(hit) else hit
-                first, last = np.flatnonzero(hit & ~joined), np.flatnonzero(hit & ~np.append(joined[1:], False)) if len(hit) else []
+                joined = hit & np.append(False, hit[:-1] & (text[1:] == text[:-1]))
+                first, last = np.flatnonzero(hit & ~joined), np.flatnonzero(hit & ~np.append(joined[1:], False))
                 cuts: dict[int, list] = {}
-                for x, y in zip(first.tolist(), list(last), strict=True):
+                for x, y in zip(first.tolist(), last.tolist(), strict=True):
                     cuts.setdefault(int(text[x]), []).append((int(starts[x]), int(ends[y])))
-                raw = data.tobytes()
-                for t in range(len(counts)):
-                    if t not in cuts:
-                        out.append(column[a + t].as_py() if column[a + t].is_valid else None)
-                        continue
-                    at, parts = int(offsets[t]), []
-                    for x, y in cuts[t]:
-                        parts.append(raw[at:x])
-                        at = y
-                    out.append(b"".join([*parts, raw[at : int(offsets[t + 1])]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, column.type) if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+                # the texts without a hit go on as they are, run by run
+                done = 0
+                for t in [*sorted(cuts), len(counts)]:
+                    if t > done:
+                        yield part.slice(done, t - done)
+                    if t < len(counts):
+                        at, parts = int(offsets[t]), []
+                        for x, y in cuts[t]:
+                            parts.append(data[at:x].tobytes())
+                            at = y
+                        now = b"".join([*parts, data[at : int(offsets[t + 1])].tobytes()]).decode()
+                        row = part.slice(t, 1)
+                        yield pa.RecordBatch.from_arrays([pa.array([now], column.type) if i == place else c for i, c in enumerate(row.columns)], schema=batch.schema)
+                    done = t + 1
 
     return docs.mapInArrow(run, docs.schema)

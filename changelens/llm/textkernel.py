@@ -8,12 +8,13 @@ marks; A-Z count as a-z.  Every word gets a 64-bit polynomial fingerprint.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _U = np.uint64
 _R, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
@@ -81,6 +82,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray, most: int = PIECE_BYTES, rows:
         last = min(max(last, first + 1), n, first + rows)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    if len(data) > most:
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

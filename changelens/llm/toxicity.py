@@ -3,9 +3,10 @@
 A text is written as codes: each word becomes CODE bytes drawn from its first
 STEM bytes, so that a hit in a dictionary is worth the same for any word, and
 inflected words meet.  Windows of WINDOW words are compressed with a dictionary
-trained on toxic text and with one trained on ordinary text; the difference of
-the two lengths says which text a window is closer to.  A logistic curve over
-the largest, second largest and mean difference of a text gives its score.
+trained on toxic text, with one trained on ordinary text, and with none; the
+differences of the lengths say which text a window is closer to.  A logistic
+curve over the largest, second largest and mean differences of a text gives its
+score.
 
 Training samples are the codes of stems that one class has clearly more often
 than the other (lower bound of the log odds over document counts), from at most
@@ -73,21 +74,30 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+_BARE = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 def features(stem: np.ndarray, counts: np.ndarray, toxic, ordinary) -> tuple[np.ndarray, np.ndarray]:
-    """Largest, second largest and mean difference of each text, and whether it has words."""
+    """Of each text the largest, second largest and mean of two differences, and whether it has words.
+
+    The differences: how much shorter a window is with the toxic dictionary than
+    with the ordinary one, and than without any.
+    """
     found, n = windows(stem, counts, WINDOW)
-    by_toxic, by_ordinary = toxic.compress, ordinary.compress
-    gain = np.array([len(by_ordinary(w)) - len(by_toxic(w)) for w in found], np.float64)
-    out, full = np.zeros((len(counts), 3)), n > 0
+    by_toxic, by_ordinary, bare = toxic.compress, ordinary.compress, _BARE.compress
+    sizes = np.array([(len(by_ordinary(w)), len(bare(w)), len(by_toxic(w))) for w in found], np.float64).reshape(-1, 3)
+    out, full = np.zeros((len(counts), 6)), n > 0
     if full.any():
         first = (np.cumsum(n) - n)[full]
-        top = np.maximum.reduceat(gain, first)
         row = np.repeat(np.arange(int(full.sum())), n[full])
-        best = np.flatnonzero(gain == top[row])
-        rest = gain.copy()
-        rest[best[np.unique(row[best], return_index=True)[1]]] = -np.inf
-        second = np.maximum.reduceat(rest, first)
-        out[full] = np.stack([top, np.where(np.isfinite(second), second, top), np.add.reduceat(gain, first) / n[full]], 1)
+        for k in (0, 1):
+            gain = sizes[:, k] - sizes[:, 2]
+            top = np.maximum.reduceat(gain, first)
+            best = np.flatnonzero(gain == top[row])
+            rest = gain.copy()
+            rest[best[np.unique(row[best], return_index=True)[1]]] = -np.inf
+            second = np.maximum.reduceat(rest, first)
+            out[full, 3 * k : 3 * k + 3] = np.stack([top, np.where(np.isfinite(second), second, top), np.add.reduceat(gain, first) / n[full]], 1)
     return out, full
 
 
@@ -178,13 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         folds.append((x[full], y[~part][full]))
     x, target = (np.concatenate(z) for z in zip(*folds, strict=True))
     share = float(known.agg(F.avg("y")).first()[0])
-    w = curve(x, target.astype(float)) if len(x) else np.zeros(4)
+    w = curve(x, target.astype(float)) if len(x) else np.zeros(7)
     # from the shares of the classes in the sample to those in the labels
     seen = float(target.mean()) if len(x) else share
     if 0 < share < 1 and 0 < seen < 1:
         w[-1] += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
     plain = x[target == 0]
-    return Model(*dictionaries(np.ones(len(y), bool)), w, plain.mean(0) if len(plain) else np.zeros(3))
+    return Model(*dictionaries(np.ones(len(y), bool)), w, plain.mean(0) if len(plain) else np.zeros(6))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
