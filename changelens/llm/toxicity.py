@@ -1,18 +1,23 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-A text is written as codes: each word becomes CODE bytes drawn from its first
-STEM bytes, so that a hit in a dictionary is worth the same for any word, and
-inflected words meet.  Windows of WINDOW words are compressed with a dictionary
-trained on toxic text, with one trained on ordinary text, and with none; the
-differences of the lengths say which text a window is closer to.  A logistic
+A text is written as codes: each word becomes two of CODE bytes, one drawn from
+its first STEM bytes and one from the whole word, so that a hit in a dictionary
+is worth the same for any word, and inflected words meet.  Windows of WINDOW
+words are compressed with a dictionary of toxic text, with one of ordinary text,
+and with none; the differences of the lengths say which text a window is closer
+to.  A logistic
 curve over the largest, second largest and mean differences of a text gives its
 score.
 
-Training samples are the codes of stems that one class has clearly more often
-than the other (lower bound of the log odds over document counts), from at most
-SAMPLE labelled rows of each class; the curve is fitted to each half scored by
-dictionaries of the other, and the model's dictionaries come from both.  The sample is the rows of least hash of the document id, whatever the
-size of the corpus, and rows of over SAMPLE_BYTES bytes are left out of it.
+The dictionaries are lexicons: a class's dictionary has the codes of all stems
+and words that it has clearly more often than the other class (lower bound of
+the log odds over document counts), however many those are, from at most SAMPLE
+labelled rows of each class.  Where neither class has any, they have all codes
+of their class.  Words that tell nothing are left out, as their chance hits
+would drown the others.  The curve is fitted to each half scored by dictionaries
+of the other, and the model's dictionaries come from both.  The sample is the
+rows of least hash of the document id, whatever the size of the corpus, and rows
+of over SAMPLE_BYTES bytes are left out of it.
 
 Null text counts as empty.  A text without words scores as the mean ordinary
 text.  Rows of equal or null id are scored each for itself.  Where the labels
@@ -34,13 +39,11 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 STEM, CODE, WINDOW = 5, 16, 24
-DICT_BYTES, LEVEL = 2048, 3
+LEVEL = 3
 #: Labelled rows of each class at most, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
-#: A stem marks a class from this lower bound of its log odds, in so many documents at least.
+#: A stem or word marks a class from this lower bound of its log odds, in so many documents at least.
 ODDS, LEAST = 1.0, 3
-#: Of the clearest stem's bound, what a stem has to have at least.
-CLEAR = 0.4
 THRESHOLD = 0.3
 
 
@@ -53,13 +56,19 @@ class Model:
 
 
 def stems(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stem and whole word of each word in turn, and how many of both each text has."""
     starts, ends, counts = tk.spans(data, offsets, tk.ALNUM)
-    return tk.fingerprints(data, starts, np.minimum(ends, starts + STEM)), counts
+    whole = tk.mix(tk.fingerprints(data, starts, ends))
+    return np.stack([tk.fingerprints(data, starts, np.minimum(ends, starts + STEM)), whole], 1).reshape(-1), 2 * counts
+
+
+def codes(stem: np.ndarray) -> bytes:
+    return np.stack([stem, tk.mix(stem)], 1).tobytes()
 
 
 def windows(stem: np.ndarray, counts: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray]:
     """The codes of each window, and how many windows each text has."""
-    raw = np.stack([stem, tk.mix(stem)], 1).tobytes()
+    raw = codes(stem)
     out, at = [], 0
     for n in counts.tolist():
         end = (at + n) * CODE
@@ -69,9 +78,12 @@ def windows(stem: np.ndarray, counts: np.ndarray, size: int) -> tuple[list[bytes
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    made = zstandard.ZstdCompressionDict(dictionary)
-    made.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+    """The hash tables have more places than the dictionary has bytes; the level's own would lose most codes of a large one."""
+    made = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    wide = max(17, len(dictionary).bit_length() + 1)
+    held = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(dictionary), window_log=wide, hash_log=wide, chain_log=wide, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+    made.precompute_compress(compression_params=held)
+    return zstandard.ZstdCompressor(compression_params=held, dict_data=made)
 
 
 _BARE = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -83,7 +95,7 @@ def features(stem: np.ndarray, counts: np.ndarray, toxic, ordinary) -> tuple[np.
     The differences: how much shorter a window is with the toxic dictionary than
     with the ordinary one, and than without any.
     """
-    found, n = windows(stem, counts, WINDOW)
+    found, n = windows(stem, counts, 2 * WINDOW)
     by_toxic, by_ordinary, bare = toxic.compress, ordinary.compress, _BARE.compress
     sizes = np.array([(len(by_ordinary(w)), len(bare(w)), len(by_toxic(w))) for w in found], np.float64).reshape(-1, 3)
     out, full = np.zeros((len(counts), 6)), n > 0
@@ -111,25 +123,14 @@ def document_counts(stem: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def marks(own: tuple, other: tuple, n_own: int, n_other: int, odds: float) -> np.ndarray:
-    """The stems that one class has clearly more often than the other."""
+    """The stems and words that one class has clearly more often than the other, the clearest last."""
     key, n = own
     at = np.minimum(np.searchsorted(other[0], key), max(0, len(other[0]) - 1))
     m = np.where(other[0][at] == key, other[1][at], 0) if len(other[0]) else np.zeros(len(key))
     low = np.log((n + 0.5) / (n_own + 1)) - np.log((m + 0.5) / (n_other + 1)) - 2 * np.sqrt(1 / n + 1 / (m + 0.5))
     low = np.where(n >= LEAST, low, -np.inf)
-    return key[(low > odds) & (low >= CLEAR * low.max(initial=0.0))]
-
-
-def trained(stem: np.ndarray, counts: np.ndarray, keep: np.ndarray) -> bytes:
-    """A dictionary from the codes of the kept stems of one class; of all its stems if none is kept."""
-    own = np.isin(stem, keep) if len(keep) else np.ones(len(stem), bool)
-    row = np.repeat(np.arange(len(counts)), counts)[own]
-    found, _ = windows(stem[own], np.bincount(row, minlength=len(counts)), 2 * WINDOW)
-    found = [w for w in found if w] or [bytes(CODE)]
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, found, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: they are the dictionary themselves
-        return b"".join(dict.fromkeys(found))[-DICT_BYTES:].rjust(8, b"\0")
+    order = np.argsort(low, kind="stable")
+    return key[order][low[order] > odds]
 
 
 def curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -179,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         toxic, ordinary = of((y == 1) & rows), of((y == 0) & rows)
         a, b = document_counts(*toxic), document_counts(*ordinary)
         n, m = len(toxic[1]), len(ordinary[1])
-        return trained(*toxic, marks(a, b, n, m, ODDS)), trained(*ordinary, marks(b, a, m, n, 0.0))
+        keep = marks(a, b, n, m, ODDS), marks(b, a, m, n, 0.0)
+        if not any(map(len, keep)):
+            keep = a[0], b[0]
+        return tuple(codes(k).rjust(CODE, b"\0") for k in keep)
 
     # each half is scored by dictionaries of the other; the model's own come from both
     folds = []

@@ -145,3 +145,31 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, model).count() == len(ROWS) and toxicity.score(empty, model).count() == 0
     none = toxicity.fit(table, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none is None and toxicity.score(docs, none).where("score > 0").count() == 0
+
+
+def test_toxicity_weaker_markers(spark):
+    # one word marks half of the toxic texts, 160 others a tenth of the rest each: all of them have to count
+    weak = sorted({"z" + "".join(random.Random(i).choices("klmnopqrstuvw", k=6)) for i in range(160)})
+    rows, r = [], random.Random(5)
+    for i in range(1600):
+        toxic = i % 2 == 0
+        marks = (["scoundrel"] if i % 4 == 0 else r.sample(weak, 16)) if toxic else []
+        rows.append((i, " ".join(prose(30, 5000 + i).split() + marks + prose(10, 9000 + i).split()), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert len(model.toxic) > 128 * toxicity.CODE
+    found = [(r.doc_id, r.score) for r in toxicity.score(table, model).where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").collect()]
+    weakest = [s for d, s in found if d % 4 == 2]
+    assert len(weakest) > 50 and sum(s >= toxicity.THRESHOLD for s in weakest) >= 0.97 * len(weakest)
+    assert sum(s >= toxicity.THRESHOLD for d, s in found if d % 2) <= 0.03 * sum(d % 2 for d, _ in found)
+
+
+def test_toxicity_large_dictionary():
+    import numpy as np
+
+    from changelens.llm import textkernel as tk
+
+    stem = tk.mix(np.arange(100_000, dtype=np.uint64))
+    made = toxicity.compressor(toxicity.codes(stem))
+    some = np.random.default_rng(1).permutation(stem)[:2000]
+    assert sum(len(made.compress(toxicity.codes(x))) < 12 * 16 for x in some.reshape(-1, 20)) >= 98
