@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..llm import store
 
 VERSION = "1.0"
 CONCRETE = ["files", "endpoints", "deps", "env"]
@@ -19,19 +20,23 @@ def prompt_hash(prompt: Column) -> Column:
     return F.substring(F.sha2(prompt, 256), 1, 16)
 
 
-def chains(contracts: DataFrame, depth: int = 64) -> DataFrame:
+def chains(contracts: DataFrame) -> DataFrame:
     """(id, depth, chain) of (id, parent_id): the ids from the root to the parent, by pointer jumping.
 
-    Each step doubles the ancestors known, so a chain of n links takes log2(n)
-    joins.  A missing parent ends a chain.
+    Each step doubles the ancestors known, until no chain has more, so chains of
+    n links take log2(n) joins; chains that are whole take part as ancestors
+    only.  A missing parent ends a chain; contracts in a ring are an error.
     """
-    now = contracts.select("id", F.col("parent_id").alias("top"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(F.array().cast("array<bigint>")).alias("chain"))
-    step = 1
-    while step < depth:
-        up = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("chain").alias("above"))
-        now = now.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("above", F.array().cast("array<bigint>")), "chain").alias("chain"))
-        step *= 2
-    return now.select("id", F.size("chain").alias("depth"), "chain")
+    none = F.array().cast("array<bigint>")
+    now = store.written(contracts.select("id", F.col("parent_id").alias("top"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("chain")), "chains")
+    done, left, known, most = now.where("top is null"), now.where("top is not null"), 1, now.count()
+    while not left.isEmpty():
+        if known > most:
+            raise ValueError("contracts are their own ancestors")
+        up = done.union(left).select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("chain").alias("above"))
+        now = store.written(left.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("above", none), "chain").alias("chain")), "chains")
+        done, left, known = done.union(now.where("top is null")), now.where("top is not null"), 2 * known
+    return done.select("id", F.size("chain").alias("depth"), "chain")
 
 
 def expansions(child: DataFrame, parent: DataFrame) -> DataFrame:
