@@ -2,7 +2,9 @@
 
 The base patterns (assign, access, hex) always report.  The network looks at
 every other candidate: a run of at least SHORTEST characters of the value
-alphabet that has a digit and a letter, in CONTEXT characters on each side.  It
+alphabet, in CONTEXT characters on each side.  It slides over longer runs in
+windows of SPAN characters, each half over the one before, and a run is reported
+where one of its windows is.  It
 is a one-dimensional convolution over one-hot character classes of the context
 and the candidate, maximum and mean pooling, and a logistic output, in numpy.
 
@@ -12,7 +14,7 @@ without any report, are not; and made-up findings of common forms are added
 from a fixed seed, in the same contexts.  At most SAMPLE candidates of each
 label are used, of least hash.  A third of them is held back: scores are
 calibrated on it (Platt), and the threshold is the highest at which RECALL of
-its secrets are reported, but at least FLOOR.
+its secrets are reported.
 
 Null text counts as empty.  Rows of equal or null id are scanned each for itself.
 """
@@ -36,13 +38,13 @@ KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-SHORTEST, CONTEXT, WIDTH = 16, 24, 96
-SAMPLE, RECALL, FLOOR = 4000, 0.99, 0.9
+SHORTEST, CONTEXT, WIDTH = 8, 24, 96
+SPAN = WIDTH - 2 * CONTEXT
+SAMPLE, RECALL = 4000, 0.99
 FILTERS, REACH, ROUNDS = 24, 5, 300
 
 _VALUE = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-" for b in range(256)])
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
-_ALPHA = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 
 
 def _classes() -> np.ndarray:
@@ -78,16 +80,19 @@ def _runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(start), np.flatnonzero(stop)
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of all runs of value characters that are long enough and have a digit and a letter."""
+def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all windows of runs of value characters that are long enough, and of the run of each."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     a, b = _runs(_VALUE[data], offsets)
     long = b - a >= SHORTEST
     a, b = a[long], b[long]
-    digits, letters = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGIT, _ALPHA))
-    good = (digits[b] > digits[a]) & (letters[b] > letters[a])
-    return a[good], b[good]
+    n = 1 + -(-np.maximum(b - a - SPAN, 0) // (SPAN // 2))
+    step = tk.gather(np.zeros(len(n), np.int64), n)
+    first, last = np.repeat(a, n), np.repeat(b, n)
+    # the last window of a run ends with it
+    start = np.maximum(np.minimum(first + step * (SPAN // 2), last - SPAN), first)
+    return start, np.minimum(start + SPAN, last), first, last
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -113,7 +118,7 @@ def frames(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray)
     """
     row = np.searchsorted(offsets, a, "right") - 1
     first, last = offsets[row], offsets[row + 1]
-    half = (WIDTH - 2 * CONTEXT) // 2
+    half = SPAN // 2
     parts = []
     for start, size, low, high in ((a - CONTEXT, CONTEXT, first, a), (a, half, a, b), (b - half, half, np.minimum(a + half, b), b), (b, CONTEXT, b, last)):
         at = start[:, None] + np.arange(size)
@@ -141,7 +146,19 @@ class Network:
         return h, h.argmax(1), np.concatenate([h.max(1), h.mean(1)], 1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.layers(x[i : i + 512])[2] @ self.out + self.out_bias for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+        """The logits of layers(), by tables of what the first three and the last two characters of each reach add."""
+        f = self.filters.astype(np.float32)
+        head = (f[0][:, None, None] + f[1][:, None] + f[2] + self.bias.astype(np.float32)).reshape(-1, FILTERS)
+        tail = (f[3][:, None] + f[4]).reshape(-1, FILTERS)
+        out, places = np.zeros(len(x)), x.shape[1] - REACH + 1
+        for i in range(0, len(x), 128):
+            c = x[i : i + 128].astype(np.int64)
+            two = c[:, :-1] * _N + c[:, 1:]
+            h = head.take(two[:, :places] * _N + c[:, 2 : 2 + places], 0)
+            h += tail.take(two[:, 3 : 3 + places], 0)
+            np.maximum(h, 0, out=h)
+            out[i : i + 128] = h.max(1) @ self.out[:FILTERS] + h.mean(1) @ self.out[FILTERS:] + self.out_bias
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(x) + self.shift, -35, 35)))
@@ -187,23 +204,26 @@ def made_up(n: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each text with their frames and labels."""
-    for batch in batches:
-        for first, _, data, offsets in tk.pieces(*tk.buffers(batch.column(1))):
-            a, b = candidates(data, offsets)
-            row = np.searchsorted(offsets, a, "right") - 1
-            label = np.zeros(len(a), np.int64)
-            raw = data.tobytes()
-            for t in np.unique(row[suspects(data, offsets)[row]]).tolist():
-                own = np.flatnonzero(row == t)
-                found = byte_spans(raw[offsets[t] : offsets[t + 1]].decode("utf-8", "replace"), int(offsets[t]))
-                hit = np.array([any(x < e and s < z for s, e, _ in found) for x, z in zip(a[own].tolist(), b[own].tolist(), strict=True)])
-                label[own] = np.where(hit, 1, -1 if found else 0)
-            use = np.flatnonzero(label >= 0)
-            x = frames(data, offsets, a[use], b[use]).astype(np.uint8)
-            keys = tk.mix(tk.fingerprints(data, a[use], b[use], lower=False)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"label": pa.array(label[use]), "key": pa.array(keys), "frame": pa.array([r.tobytes() for r in x], pa.binary())})
+def _labelled(sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of each text with their frames and labels: of each piece those of the SAMPLE least keys of a label, as no others are used."""
+        for batch in batches:
+            for first, _, data, offsets in tk.pieces(*tk.buffers(batch.column(1))):
+                a, b, _, _ = candidates(data, offsets)
+                row = np.searchsorted(offsets, a, "right") - 1
+                label = np.zeros(len(a), np.int64)
+                raw = data.tobytes()
+                for t in np.unique(row[suspects(data, offsets)[row]]).tolist():
+                    own = np.flatnonzero(row == t)
+                    found = byte_spans(raw[offsets[t] : offsets[t + 1]].decode("utf-8", "replace"), int(offsets[t]))
+                    hit = np.array([any(x < e and s < z for s, e, _ in found) for x, z in zip(a[own].tolist(), b[own].tolist(), strict=True)])
+                    label[own] = np.where(hit, 1, -1 if found else 0)
+                keys = tk.mix(tk.fingerprints(data, a, b, lower=False)).view(np.int64)
+                use = np.concatenate([own[keys[own] <= np.unique(keys[own])[:sample][-1]] if len(own) else own for own in (np.flatnonzero(label == c) for c in (0, 1))])
+                x = frames(data, offsets, a[use], b[use]).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({"label": pa.array(label[use]), "key": pa.array(keys[use]), "frame": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    return run
 
 
 def byte_spans(text: str, at: int = 0) -> list[tuple[int, int, int]]:
@@ -215,7 +235,7 @@ def byte_spans(text: str, at: int = 0) -> list[tuple[int, int, int]]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Network:
-    rows = docs.select(F.lit(0).alias("x"), F.col(text_col).alias("text")).mapInArrow(_labelled, "label long, key long, frame binary")
+    rows = docs.select(F.lit(0).alias("x"), F.col(text_col).alias("text")).mapInArrow(_labelled(sample), "label long, key long, frame binary")
     rows = rows.groupBy("label", "key").agg(F.min("frame").alias("frame"))
     picked = [rows.where(F.col("label") == c).orderBy("key").limit(sample) for c in (0, 1)]
     table = picked[0].union(picked[1]).toArrow()  # 2 * sample rows of WIDTH bytes
@@ -235,7 +255,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Networ
     logit = net.logit(x[held])
     net.scale, net.shift = curve(logit[:, None], y[held].astype(float))
     found = np.sort(net.score(x[held][y[held] == 1]))
-    net.threshold = max(FLOOR, float(found[int((1 - RECALL) * len(found))]))
+    net.threshold = float(found[int((1 - RECALL) * len(found))])
     return net
 
 
@@ -253,12 +273,13 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 for t in np.flatnonzero(suspects(data, offsets)).tolist():
                     texts[t] = raw[offsets[t] : offsets[t + 1]].decode("utf-8", "replace")
                     base[t] = base_spans(texts[t])
-                a, b = candidates(data, offsets)
-                score = net.score(frames(data, offsets, a, b))
-                for i in np.flatnonzero(score >= net.threshold).tolist():
-                    t = int(np.searchsorted(offsets, a[i], "right")) - 1
-                    s = len(raw[offsets[t] : a[i]].decode("utf-8", "replace"))
-                    e = s + int(b[i] - a[i])  # value characters are ASCII
+                a, b, first_at, last_at = candidates(data, offsets)
+                hit = np.concatenate([np.flatnonzero(net.score(frames(data, offsets, a[i : i + 4096], b[i : i + 4096])) >= net.threshold) + i for i in range(0, len(a), 4096)]) if len(a) else np.zeros(0, np.int64)
+                runs, at = np.unique(first_at[hit], return_index=True)
+                for start, end in zip(runs.tolist(), last_at[hit][at].tolist(), strict=True):
+                    t = int(np.searchsorted(offsets, start, "right")) - 1
+                    s = len(raw[offsets[t] : start].decode("utf-8", "replace"))
+                    e = s + end - start  # value characters are ASCII
                     if not any(x < e and s < z for x, z, _ in base[t]):
                         more[t].append((s, e, 3))
                 write = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in found)

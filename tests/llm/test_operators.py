@@ -173,3 +173,28 @@ def test_toxicity_large_dictionary():
     made = toxicity.compressor(toxicity.codes(stem))
     some = np.random.default_rng(1).permutation(stem)[:2000]
     assert sum(len(made.compress(toxicity.codes(x))) < 12 * 16 for x in some.reshape(-1, 20)) >= 98
+
+
+def test_secrets_candidates_and_recall(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from changelens.llm import textkernel as tk
+
+    text = "k abcdefgh 1234567 12345678 " + "a/" * 40 + "Zq8LmT3vXw9K" + "/b" * 40
+    data, offsets = tk.buffers(pa.array([text]))
+    a, b, first, last = secrets.candidates(data, offsets)
+    runs = {(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)}
+    assert [text[x:y] for x, y in sorted(runs)][:2] == ["abcdefgh", "12345678"] and len(runs) == 3
+    covered = np.zeros(len(text), bool)
+    for x, y in zip(a, b, strict=True):
+        covered[x:y] = True
+    assert covered.sum() == 16 + 172 and (b - a).max() <= secrets.SPAN
+    # scores near a half: the threshold goes where the recall is, however low
+    monkeypatch.setattr(secrets, "curve", lambda x, y: np.array([0.01, 0.0]))
+    r = random.Random(4)
+    noisy = [(i, f"{prose(20, i)} token = \"{''.join(r.choice('0123456789abcdef') for _ in range(40)) if i % 2 else prose(1, i) * 3}\" {prose(5, i)}") for i in range(200)]
+    net = secrets.fit(spark.createDataFrame(noisy, "doc_id long, text string"))
+    assert net.threshold < 0.9
+    x = np.random.default_rng(2).integers(0, 16, (300, secrets.WIDTH))
+    assert np.allclose(net.logit(x), net.layers(x)[2] @ net.out + net.out_bias, atol=1e-3)
