@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..llm import store
+from .. import tables
 
 VERSION = "1.0"
 CONCRETE = ["files", "endpoints", "deps", "env"]
@@ -28,13 +28,13 @@ def chains(contracts: DataFrame) -> DataFrame:
     only.  A missing parent ends a chain; contracts in a ring are an error.
     """
     none = F.array().cast("array<bigint>")
-    now = store.written(contracts.select("id", F.col("parent_id").alias("top"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("chain")), "chains")
+    now = tables.written(contracts.select("id", F.col("parent_id").alias("top"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("chain")), "chains")
     done, left, known, most = now.where("top is null"), now.where("top is not null"), 1, now.count()
     while not left.isEmpty():
         if known > most:
             raise ValueError("contracts are their own ancestors")
         up = done.union(left).select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("chain").alias("above"))
-        now = store.written(left.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("above", none), "chain").alias("chain")), "chains")
+        now = tables.written(left.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("above", none), "chain").alias("chain")), "chains")
         done, left, known = done.union(now.where("top is null")), now.where("top is not null"), 2 * known
     return done.select("id", F.size("chain").alias("depth"), "chain")
 
