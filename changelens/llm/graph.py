@@ -55,7 +55,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: store.Scratch | None = None) -> DataFrame:
     """(node, root) of every node that has a link; root is the least node reachable.  Roots have no row."""
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a != b")
     now = store.written(links.mapInArrow(_contract, _PAIR), "links")
@@ -63,7 +63,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
+            if scratch:
+                scratch.tables.append(now)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         old, seen = now, state
         now = store.written(_small_star(_large_star(now)), "links")
-        store.drop(now.sparkSession, old)
+        store.drop(old)

@@ -1,49 +1,64 @@
-"""Tables that a job writes and reads again, in the cluster's shared folder."""
+"""Intermediate tables of the operators, and sieves that stand for sets of keys of any size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers that a broadcast may have.
-SMALL = 2_000_000
+from ..tables import drop, new_path, shared_dir, written
+
+__all__ = ["Scratch", "drop", "fresh", "new_path", "shared_dir", "sieve", "sifted", "written"]
+
+#: A sieve has 2**SIEVE_BITS words of 64 bits at most, so what is broadcast of it has this bound whatever the number of keys.
+SIEVE_BITS = 19
+
+
+class Scratch:
+    """Written tables that go once a result that is made of them is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
 
+    def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
+        out = written(df, name)
+        for table in self.tables:
+            drop(table)
+        self.tables = []
+        return out
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        known = tempfile.mkdtemp(prefix="changelens-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
-    return known
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it in any case."""
+    have, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/changelens/{name}-{uuid.uuid4().hex}"
 
+def _hash(*keys: Column) -> Column:
+    return F.xxhash64(*keys)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: lineage ends here, and no executor holds the only copy."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def sieve(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bit for the hash of each row of keys, in at most 2**SIEVE_BITS words.
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that written() made and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    A key is always found in it; others are found by chance, the more the more
+    keys there are.  So it only spares work, and an exact step has to follow.
+    """
+    hashed = keys.select(_hash(*keys.columns).alias("h"))
+    return hashed.groupBy(F.shiftrightunsigned("h", 64 - SIEVE_BITS).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df, a written table of a few numbers a row, to be broadcast if it has no more than `most` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def sifted(df: DataFrame, words: DataFrame, *keys: Column, name: str = "maybe") -> DataFrame:
+    """df with a boolean column, true for every row whose keys went into the sieve (and for few others)."""
+    h, word, bits = fresh([*df.columns, name], "h", "word", "bits")
+    some = F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    rows = df.withColumn(h, _hash(*keys)).join(some, F.shiftrightunsigned(h, 64 - SIEVE_BITS) == F.col(word), "left")
+    return rows.withColumn(name, F.coalesce(F.expr(f"shiftright(`{bits}`, cast(`{h}` & 63 as int)) & 1 = 1"), F.lit(False))).drop(h, word, bits)

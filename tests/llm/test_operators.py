@@ -43,6 +43,35 @@ def test_components(spark):
     assert all(found[i] == 1 for i in range(2, 61)) and found[200] == 100 and 100 not in found
 
 
+def test_near_duplicates_in_a_crowded_region(spark):
+    # 1500 texts that are 0.75 alike, and 150 pairs of 0.82 among them
+    base = prose(400, 60).split()
+
+    def variant(seed, text, n):
+        r, out = random.Random(seed), list(text)
+        for i in r.sample(range(len(out)), n):
+            out[i] = f"w{seed}x{i}"
+        return out
+
+    texts = [variant(1000 + i, base, 12) for i in range(1500)]
+    pairs = [(i, 2000 + i) for i in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(j, " ".join(variant(9000 + j, texts[i], 8))) for i, j in pairs]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, x in rows for w in [x.split()]}
+    want = {(a, b) for a in range(1500) for b in (2000 + a,) if a < 150 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), k=5))
+    met = sum(found[a].component_id == found[b].component_id for a, b in want)
+    assert len(want) > 100 and met >= 0.95 * len(want)
+    assert sum(found[i].component_id != i for i in range(1500)) <= 20 * len(want)
+
+
+def test_sieve(spark):
+    from changelens.llm import store
+
+    keys = spark.range(0, 5000).select(F.col("id").alias("k"))
+    rows = store.sifted(spark.range(0, 50_000).select(F.col("id").alias("word"), F.lit(1).alias("h")), store.sieve(keys), F.col("word"))
+    assert rows.columns == ["word", "h", "maybe"] and rows.where("maybe and word < 5000").count() == 5000 and rows.where("maybe").count() < 5200
+
+
 def test_near_duplicates(docs, empty):
     found = by_id(minhash.near_duplicates(docs, k=5))
     assert found[1].component_id == found[2].component_id == found[3].component_id == 1 and not found[2].kept and found[1].kept
@@ -91,6 +120,19 @@ def test_passages(docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    # 100 and 101 share 200 words; pieces of at most 31 words of them stand in 14 earlier documents; 3 and 4 share 60, whose halves stand in 1 and 2
+    shared, joint = prose(200, 70).split(), prose(60, 71).split()
+    rows = [(10 + i, prose(40, 700 + i) + " " + " ".join(shared[i * 14 : i * 14 + 31]) + " " + prose(40, 800 + i)) for i in range(14)]
+    rows += [(100, prose(50, 72) + " " + " ".join(shared)), (101, prose(60, 73) + " " + " ".join(shared) + " " + prose(9, 74))]
+    rows += [(1, prose(30, 75) + " " + " ".join(joint[:30])), (2, " ".join(joint[30:]) + " " + prose(30, 76)), (3, prose(10, 77) + " " + " ".join(joint)), (4, " ".join(joint) + " " + prose(70, 78))]
+    # equal ids with different texts
+    rows += [(200, prose(90, 79)), (200, prose(50, 80) + " " + PASSAGE), (201, PASSAGE + " " + prose(50, 81)), (201, prose(90, 82)), (201, prose(90, 82))]
+    found = {(r.doc_id, r.first_doc_id): r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole, half = found[101, 100], found[4, 3]
+    assert (whole.start, whole.n_words, whole.matched) == (60, 200, 200) and (half.start, half.n_words, half.first_start) == (0, 60, 10) and found[201, 200].n_words == 60
+
+
 def test_brown(docs, empty):
     import math
     import re
