@@ -167,6 +167,27 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_by_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 24))
+    x = np.concatenate([r.normal(size=(1500, 24)), centres.repeat(50, 0) + r.normal(size=(2000, 24)) * r.uniform(0.05, 0.4, (2000, 1))])
+    x[:4] = [[1e39] + [0] * 23, [1e39, 1e38] + [0] * 22, [1e-200] + [0] * 23, [1e300] + [0] * 23]
+    label = r.choice(3, len(x), p=[0.9, 0.06, 0.04])
+    label[:4] = 0
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero((u @ u.T >= 0.93) & (label[:, None] == label[None])), strict=True) if i != j}
+    n = np.bincount([i for i, _ in want], minlength=len(x))
+    df = spark.createDataFrame([(i, row.tolist(), int(c)) for i, (row, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int").repartition(5)
+    found = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    got = np.array([found[i].n_links for i in range(len(x))])
+    assert len(want) > 10_000 and (got <= n).all() and got.sum() >= 0.999 * n.sum()
+    assert found[1].component_id == 0 and found[2].n_links >= 2 and found[3].component_id == 0
+    assert {(i, j) for i, j in want if found[i].component_id != found[j].component_id} == set()
+
+
 def test_secrets(spark, empty):
     r = random.Random(3)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
