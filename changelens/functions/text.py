@@ -16,8 +16,8 @@ from . import fixed as X
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
-    """Group 1 of the first pattern that matches; null if none does."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    """Group 1 of the first pattern that matches, which is never empty; null if none does."""
+    return F.coalesce(*[F.get(F.regexp_extract_all(text, F.lit(p), 1), F.lit(0)) for p in patterns])
 
 
 def gated(found: Column, gate: Column) -> Column:
@@ -64,7 +64,8 @@ def osa_one(a: Column, b: Column) -> Column:
     def swapped(i: Column) -> Column:
         return F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n)) == b
 
-    return F.levenshtein(a, b, 1).between(0, 1) | F.exists(places, swapped)
+    # a swap is two substitutions, so only pairs at a plain distance of 2 are looked at
+    return let(F.levenshtein(a, b, 2), lambda d: d.between(0, 1) | ((d == 2) & F.exists(places, swapped)))
 
 
 def osa_distance(a: str, b: str) -> int:
@@ -109,7 +110,7 @@ def osa_two(a: Column, b: Column) -> Column:
         at = F.sequence(F.greatest(F.lit(1), i - 1), i + 1)
         return F.exists(at, lambda j: (F.substring(b, j, F.lit(2)) == pair) & (F.length(pair) == 2) & ((_within(left, F.substring(b, F.lit(1), j - 1)) + _within(right, F.substring(b, j + 2, F.length(b)))) <= 1))
 
-    return F.levenshtein(a, b, 2).between(0, 2) | F.exists(places, near)
+    return let(F.levenshtein(a, b, 4), lambda d: d.between(0, 2) | ((d > 2) & F.exists(places, near)))
 
 
 def _within(a: Column, b: Column) -> Column:
@@ -142,8 +143,8 @@ def symbol_in_norm(symbol: Column, entry: Column) -> Column:
 
 
 def norm_endpoint(s: Column) -> Column:
-    s = F.regexp_replace(F.lower(s), r"^\s*(?:get|post|put|delete|patch)\s+", "")
-    s = F.regexp_replace(s, r"\{[^}]+\}|\[[^\]]+\]|:[A-Za-z_][\w]*", "<param>")
+    s = F.regexp_replace(F.lower(s), X.EP_VERBS, "")
+    s = F.regexp_replace(s, X.EP_PARAM, "<param>")
     return F.regexp_replace(F.regexp_replace(s, r"\?.*$", ""), r"/+$", "")
 
 
@@ -198,8 +199,8 @@ def is_comment(code: Column) -> Column:
 
 
 def go_import(code: Column) -> Column:
-    found = first_match(code, X.GO_IMPORT)
-    return gated(F.when(has(found, F.lit(".")), found), code.rlike(r"\x22\s*$") & has(code, F.lit(".")))
+    found = let(first_match(code, X.GO_IMPORT), lambda f: F.when(has(f, F.lit(".")), f))
+    return gated(found, code.rlike(r'"\s*$') & has(code, F.lit(".")))
 
 
 def python_import(code: Column) -> Column:
@@ -215,41 +216,43 @@ def env(code: Column) -> Column:
 
 
 def dotenv(code: Column, file: Column) -> Column:
-    return F.when((file != "") & file.rlike(X.DOTENV_FILE), first_match(code, [X.DOTENV]))
+    return F.when((file != "") & has(code, F.lit("=")) & file.rlike(X.DOTENV_FILE), first_match(code, [X.DOTENV]))
 
 
 def endpoint(code: Column) -> Column:
-    verb, mount, fetched = (first_match(code, [p]) for p in (X.EP_VERB, X.EP_MOUNT, X.EP_FETCH))
-    route = lambda s: F.startswith(s, F.lit("/")) | has(F.lower(s), F.lit("api"))
-    found = F.coalesce(first_match(code, [X.EP_DECORATOR]), F.when(route(verb), verb), F.when(route(mount), mount), F.when(F.startswith(fetched, F.lit("/")), fetched))
-    return gated(found, code.rlike(r"(?:get|post|put|delete|patch|route|use|fetch)\("))
+    def path(pattern: str, others: bool) -> Column:
+        test = lambda s: F.startswith(s, F.lit("/")) | has(F.lower(s), F.lit("api")) if others else F.startswith(s, F.lit("/"))
+        return let(first_match(code, [pattern]), lambda s: F.when(test(s), s))
+
+    found = F.coalesce(first_match(code, [X.EP_DECORATOR]), path(X.EP_VERB, True), path(X.EP_MOUNT, True), path(X.EP_FETCH, False))
+    return gated(found, has(code, F.lit("(")) & code.rlike(r"(?:get|post|put|delete|patch|route|use|fetch)\("))
 
 
 def route_of_file(file: Column) -> Column:
     found = first_match(file, [X.ROUTE_FILE])
-    return F.concat(F.lit("/"), F.regexp_replace(found, "/+$", ""))
+    return gated(F.concat(F.lit("/"), F.regexp_replace(found, "/+$", "")), has(file, F.lit("/route.")))
 
 
 def cron(code: Column) -> Column:
-    return F.when(code.rlike(X.CRON), F.substring(F.trim(code), 1, 40))
+    hint = has(code, F.lit("cron")) | has(code, F.lit("Cron")) | has(code, F.lit("sched")) | has(code, F.lit("Sched")) | has(code, F.lit("setInterval"))
+    return F.when(hint & code.rlike(X.CRON), F.substring(F.trim(code), 1, 40))
 
 
 def listener(code: Column) -> Column:
     receiver, argument = F.regexp_extract(code, X.LISTEN, 1), F.trim(F.regexp_extract(code, X.LISTEN, 2))
-    port = first_match(argument, [r"(\d{2,5})"])
-    process, window = first_match(code, [X.PROCESS_ON]), first_match(code, [X.GLOBAL_ON])
-    found = (
-        F.when(code.rlike(X.LISTEN), F.when(port.isNotNull(), F.concat(F.lit("listen(:"), port, F.lit(")"))).when(receiver.isin(X.LISTEN_RECEIVERS), F.lit("listen()")))
-        .when(code.rlike(X.SERVER), F.lit("server()"))
-        .when(process.isNotNull(), F.concat(F.lit("process.on('"), process, F.lit("')")))
-        .when(window.isNotNull(), F.concat(F.lit("addEventListener('"), window, F.lit("')")))
-    )
+    port = let(first_match(argument, [r"(\d{2,5})"]), lambda p: F.when(p.isNotNull(), F.concat(F.lit("listen(:"), p, F.lit(")"))).when(receiver.isin(X.LISTEN_RECEIVERS), F.lit("listen()")))
+
+    def event(pattern: str, lead: str) -> Column:
+        return F.concat(F.lit(f"{lead}('"), first_match(code, [pattern]), F.lit("')"))
+
+    rest = F.coalesce(F.when(code.rlike(X.SERVER), F.lit("server()")), gated(event(X.PROCESS_ON, "process.on"), has(code, F.lit("process."))), gated(event(X.GLOBAL_ON, "addEventListener"), has(code, F.lit("EventListener"))))
+    found = F.when(has(code, F.lit(".listen")) & code.rlike(X.LISTEN), port).otherwise(rest)
     return gated(found, has(code, F.lit("(")) & (has(code, F.lit("isten")) | has(code, F.lit("new")) | has(code, F.lit("process."))))
 
 
 def symbol(code: Column) -> Column:
-    found = first_match(code, X.SYMBOL)
-    return gated(F.when(~found.isin(X.HTTP_VERBS), found), code.rlike(r"^\s*(?:async|def|class|export|function|const|let|var|model|func)\s"))
+    found = let(first_match(code, X.SYMBOL), lambda f: F.when(~f.isin(X.HTTP_VERBS), f))
+    return gated(found, code.rlike(r"^\s*(?:async|def|class|export|function|const|let|var|model|func)\s"))
 
 
 def shape(code: Column) -> Column:
@@ -258,17 +261,20 @@ def shape(code: Column) -> Column:
 
 
 def infrastructure(code: Column, file: Column) -> Column:
-    kind, cloud = first_match(code, [X.K8S]), first_match(code, [X.CLOUDFORMATION])
-    yaml = F.when(file.rlike(X.YAML), F.coalesce(F.when(kind.isin(X.K8S_KINDS), F.concat(F.lit("k8s:"), kind)), cloud))
-    return F.when(file != "", F.coalesce(first_match(code, [X.TERRAFORM]), first_match(code, [X.DDL]), yaml))
+    kind, cloud = let(first_match(code, [X.K8S]), lambda k: F.when(k.isin(X.K8S_KINDS), F.concat(F.lit("k8s:"), k))), first_match(code, [X.CLOUDFORMATION])
+    yaml = F.when(file.rlike(X.YAML), F.coalesce(kind, cloud))
+    terraform, ddl = gated(first_match(code, [X.TERRAFORM]), has(code, F.lit("resource"))), gated(first_match(code, [X.DDL]), has(F.lower(code), F.lit("table")))
+    return F.when(file != "", F.coalesce(terraform, ddl, gated(yaml, has(code, F.lit(":")))))
 
 
 def dependency(code: Column, file: Column) -> Column:
-    package, cargo = first_match(code, [X.PACKAGE_DEP]), first_match(code, [X.CARGO_DEP])
-    return (
-        F.when(file.rlike(X.PACKAGE_FILE), F.coalesce(F.when(~package.isin(X.PACKAGE_KEYS), package), first_match(code, [X.PACKAGE_ALIAS])))
+    package = let(first_match(code, [X.PACKAGE_DEP]), lambda n: F.when(~n.isin(X.PACKAGE_KEYS), n))
+    cargo = let(first_match(code, [X.CARGO_DEP]), lambda n: F.when(~n.isin(X.CARGO_KEYS), n))
+    found = (
+        F.when(file.rlike(X.PACKAGE_FILE), F.coalesce(package, first_match(code, [X.PACKAGE_ALIAS])))
         .when(file.rlike(X.PYTHON_FILE), first_match(code, [X.PYTHON_DEP]))
         .when(file.rlike(X.GEM_FILE), first_match(code, [X.GEM_DEP]))
-        .when(file.rlike(X.CARGO_FILE), F.when(~cargo.isin(X.CARGO_KEYS), cargo))
+        .when(file.rlike(X.CARGO_FILE), cargo)
         .when(file.rlike(X.GOMOD_FILE), first_match(code, [X.GOMOD_DEP]))
     )
+    return gated(found, file.rlike(r"(?i)(?:json|txt|gemspec|gemfile|toml|go\.mod)$"))

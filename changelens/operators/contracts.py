@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions import text as T
 from .. import tables
 
@@ -61,9 +62,42 @@ def narrowing(child: DataFrame, parent: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").join(concrete, "parent_id", "left").select("id", "parent_id", n.alias("expansions"), (n == 0).alias("narrow"), F.col("c").isNull().alias("advisory"))
 
 
+def whole(contracts: DataFrame) -> DataFrame:
+    """Contracts (id, parent_id, goal, constraints, decisions, agent, prompt_hash, scope_summary, findings_count, score, issued_at) with what they inherit.
+
+    (id, goal, constraints, decisions, links): the context is a contract's own
+    or that of its nearest ancestor that has one; links run from the root to the
+    parent, eight fields each, with the score of the contract that follows it.
+    """
+    own = ["goal", "constraints", "decisions"]
+    steps = chains(contracts.select("id", "parent_id")).select("id", F.posexplode(F.concat("chain", F.array("id"))).alias("pos", "at"))
+    known = contracts.select(F.col("id").alias("at"), *own, "agent", "prompt_hash", "scope_summary", "findings_count", "score", "issued_at")
+    rows = steps.join(known, "at", "left")
+    follows = Window.partitionBy("id").orderBy("pos")
+    rows = rows.withColumn("next_score", F.lead("score").over(follows)).withColumn("last", F.lead("at").over(follows).isNull())
+    link = F.struct(F.col("pos"), F.col("at").alias("contract_id"), F.coalesce("agent", F.lit("unknown")).alias("agent"), F.concat(F.lit("[prompt_hash:"), F.col("prompt_hash"), F.lit("]")).alias("task"), "scope_summary", F.array().cast("array<string>").alias("files_touched"), "findings_count", F.col("next_score").alias("score"), F.col("issued_at").alias("at"))
+    inherited = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in own]
+    return rows.groupBy("id").agg(*inherited, F.array_sort(F.collect_list(F.when(~F.col("last"), link))).alias("links"))
+
+
+def with_skips(scored: DataFrame) -> DataFrame:
+    """Scored audits (…, n_findings, score, extraction_failed, key_configured): where a configured extraction failed, the audit is skipped, without findings and LOW."""
+    skipped = F.coalesce(F.col("extraction_failed") & F.col("key_configured"), F.lit(False))
+    return scored.withColumn("skipped", skipped).withColumn("n_findings", F.when(F.col("skipped"), 0).otherwise(F.col("n_findings"))).withColumn("score", F.when(F.col("skipped"), "LOW").otherwise(F.col("score")))
+
+
 def expired(contracts: DataFrame, as_of) -> DataFrame:
-    """Contracts whose parent (expires_at) ran out before as_of: a high finding each."""
-    return contracts.where(F.col("parent_expires_at") < F.lit(as_of)).select("id", F.lit("contract.expired").alias("kind"), F.lit("high").alias("severity"))
+    """Contracts (id, parent_id, parent_expires_at) whose parent ran out before as_of: a high finding each, which raises the score to HIGH."""
+    at = F.lit(as_of)
+    minutes = F.round((F.unix_timestamp(at) - F.unix_timestamp("parent_expires_at")) / 60).cast("long")
+    detail = F.format_string(X.EXPIRED_DETAIL, F.substring(F.col("parent_id").cast("string"), 1, 8), F.date_format("parent_expires_at", "yyyy-MM-dd HH:mm:ss"))
+    return contracts.where(F.col("parent_expires_at") < at).select("id", F.lit("contract.expired").alias("kind"), F.lit("high").alias("severity"), detail.alias("detail"), F.concat(F.lit("expired "), minutes.cast("string"), F.lit("min ago")).alias("evidence"), F.lit("HIGH").alias("score"))
+
+
+def expansion_findings(found: DataFrame) -> DataFrame:
+    """A high finding for every expansion that is not advisory."""
+    detail = F.format_string(X.EXPANSION_DETAIL, "item", "field")
+    return found.where("not advisory").select("id", F.lit("contract.expansion").alias("kind"), F.lit("high").alias("severity"), detail.alias("detail"), F.concat("field", F.lit("+="), "item").alias("evidence"), F.lit("HIGH").alias("score"))
 
 
 def handoff(scores: DataFrame) -> DataFrame:

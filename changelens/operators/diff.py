@@ -21,58 +21,70 @@ def split_lines(changes: DataFrame) -> DataFrame:
 
 
 def scan(lines: DataFrame) -> DataFrame:
-    """Lines with file (forward-filled from +++ b/ headers, '' before any), header, is_new (of the header's file), side ('+', '-' or null) and code."""
-    raw = F.col("raw")
+    """Lines with file (forward-filled from +++ b/ headers, '' before any), header, is_new (of the header's file), side ('+', '-' or null) and code.
+
+    Each line gets one mark first, so every pattern runs once a line; the
+    windows after it work on marks and headers alone.
+    """
+    raw, mark = F.col("raw"), F.col("mark")
+    first = F.substring(raw, 1, 1)
+    # n: new file mode, z: no old file, m: old file, p: new file, then added, deleted and other lines
+    minus = F.when(F.regexp_extract(raw, X.MINUS, 1) == "/dev/null", "z").otherwise("m")
+    plus = F.when(F.startswith(raw, F.lit("+++")), F.when(raw.rlike(X.PLUS), "p").otherwise(" ")).otherwise("+")
+    dash = F.when(F.startswith(raw, F.lit("---")), F.when(raw.rlike(X.MINUS), minus).otherwise(" ")).otherwise("-")
+    kind = F.when(first == "+", plus).when(first == "-", dash).when(raw.rlike(X.NEW_MODE), "n").otherwise(" ")
+    marked = lines.withColumn("mark", kind)
     by = Window.partitionBy("audit_id").orderBy("line_no")
     so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
-    mode, minus = raw.rlike(X.NEW_MODE), raw.rlike(X.MINUS)
-    marker = mode | (minus & (F.regexp_extract(raw, X.MINUS, 1) == "/dev/null"))
-    header = F.when(~mode & ~minus, T.first_match(raw, [X.PLUS]))
-    plain = ~mode & ~minus & header.isNull()
-    new = F.max(F.when(marker, F.col("line_no"))).over(before) > F.coalesce(F.max(F.when(~(mode | minus), F.col("line_no"))).over(before), F.lit(-1))
-    out = lines.select("*", header.alias("header"), F.coalesce(new, F.lit(False)).alias("fresh")).withColumn("plain", plain)
-    out = out.withColumn("file", F.coalesce(F.last("header", ignorenulls=True).over(so_far), F.lit("")))
+    header = F.when(mark == "p", F.regexp_extract(raw, X.PLUS, 1))
+    new = F.max(F.when(mark.isin("n", "z"), F.col("line_no"))).over(before) > F.coalesce(F.max(F.when(~mark.isin("n", "z", "m"), F.col("line_no"))).over(before), F.lit(-1))
+    out = marked.withColumn("header", header).select("*", F.coalesce(new, F.lit(False)).alias("fresh"), F.coalesce(F.last("header", ignorenulls=True).over(so_far), F.lit("")).alias("file"))
     # a file is new if any of its headers says so
     out = out.withColumn("is_new", F.max(F.col("header").isNotNull() & F.col("fresh")).over(Window.partitionBy("audit_id", "file")))
-    added = F.col("plain") & F.startswith(raw, F.lit("+")) & ~F.startswith(raw, F.lit("+++"))
-    gone = F.col("plain") & F.startswith(raw, F.lit("-")) & ~F.startswith(raw, F.lit("---"))
-    return out.withColumn("side", F.when(added, "+").when(gone, "-")).withColumn("code", F.when(F.col("side").isNotNull(), F.substring(raw, F.lit(2), F.length(raw)))).drop("plain", "fresh")
+    side = F.when(mark.isin("+", "-"), mark)
+    return out.select(*[c for c in out.columns if c not in ("mark", "fresh", "is_new")], "is_new", side.alias("side"), F.when(side.isNotNull(), F.substring(raw, F.lit(2), F.length(raw))).alias("code"))
 
 
 def added_lines(scanned: DataFrame) -> DataFrame:
     return scanned.where("side = '+'").select("audit_id", "line_no", "file", "is_new", "code")
 
 
+def _renamed(scanned: DataFrame) -> DataFrame:
+    """Added and deleted lines with renamed: an added declaration whose shape equals that of a deleted one in the same change."""
+    shaped = scanned.where("side is not null").withColumn("shape", T.shape(F.col("code")))
+    gone = F.max(F.col("side") == "-").over(Window.partitionBy("audit_id", "shape"))
+    return shaped.withColumn("renamed", F.col("shape").isNotNull() & gone).where("side = '+'")
+
+
 def renames(scanned: DataFrame) -> DataFrame:
     """Added declarations whose shape equals that of a deleted one in the same change: audit_id, line_no."""
-    shaped = scanned.where("side is not null").select("audit_id", "line_no", "side", T.shape(F.col("code")).alias("shape")).where("shape is not null")
-    return shaped.where("side = '+'").join(shaped.where("side = '-'").select("audit_id", "shape").distinct(), ["audit_id", "shape"], "left_semi").select("audit_id", "line_no")
+    return _renamed(scanned).where("renamed").select("audit_id", "line_no")
 
 
 def surface(scanned: DataFrame) -> DataFrame:
-    """(audit_id, kind, item, first): every item once per kind, first is its order of appearance."""
-    shapes = scanned.where("side = '-'").select("audit_id", T.shape(F.col("code")).alias("shape")).where("shape is not null").distinct().withColumn("renamed", F.lit(True))
-    rows = added_lines(scanned).withColumn("shape", T.shape(F.col("code"))).join(shapes, ["audit_id", "shape"], "left")
+    """(audit_id, kind, item, first): every item once per kind, first is its order of appearance.
+
+    Each kind's patterns run on the lines that a cheap test lets through.
+    """
+    rows = _renamed(scanned).select("audit_id", "line_no", "file", "is_new", "code", "renamed", F.when(~T.is_comment(F.col("code")), F.col("code")).alias("live"))
     # one function over the line: a projection of all extractors would be more code than a compiled stage may have
-    found = T.let(F.struct("code", "file", "is_new", F.coalesce("renamed", F.lit(False)).alias("renamed")), lambda r: _items(r["code"], r["file"], r["is_new"], r["renamed"]))
+    found = T.let(F.struct("code", "live", "file", "is_new", "renamed"), lambda r: _items(r["code"], r["live"], r["file"], r["is_new"], r["renamed"]))
     long = rows.select("audit_id", "line_no", F.explode(found).alias("s"))
     return long.groupBy("audit_id", F.col("s.kind").alias("kind"), F.col("s.item").alias("item")).agg(F.min(F.col("line_no").cast("long") * 16 + F.col("s.n")).alias("first"))
 
 
-def _items(code: Column, file: Column, is_new: Column, renamed: Column) -> Column:
-    """What one added line adds: an array of (kind, item, n)."""
-    live = lambda c: F.when(~T.is_comment(code), c)
-    env = live(T.env(code))
+def _items(code: Column, live: Column, file: Column, is_new: Column, renamed: Column) -> Column:
+    """What one added line adds: an array of (kind, item, n); live is the code of lines that are no comment."""
     found: list[tuple[str, Column]] = [
         ("file", F.nullif(file, F.lit(""))),
         ("endpoint", F.when(is_new, T.route_of_file(file))),
         ("import", T.python_import(code)),
         ("import", T.script_import(code)),
         ("import", T.go_import(code)),
-        ("env", F.coalesce(env, T.dotenv(code, file))),
-        ("endpoint", live(T.endpoint(code))),
-        ("cron", live(T.cron(code))),
-        ("listener", live(T.listener(code))),
+        ("env", F.coalesce(T.env(live), T.dotenv(code, file))),
+        ("endpoint", T.endpoint(live)),
+        ("cron", T.cron(live)),
+        ("listener", T.listener(live)),
         ("symbol", F.when(~renamed, T.symbol(code))),
         ("symbol", T.infrastructure(code, file)),
         ("dep", F.when(file != "", T.dependency(code, file))),

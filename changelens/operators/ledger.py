@@ -51,23 +51,53 @@ def since(entries: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def cutoffs(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """(request_id, cutoff, note): the later of a given time and the agent's last entry; an unreadable time is noted."""
-    given = F.try_to_timestamp("since")
+    """(request_id, cutoff, note, invalid_since): the later of a given time and the agent's last entry.
+
+    A time that can't be read is returned as invalid_since, without a cutoff; an
+    agent without entries gives a note.
+    """
+    asked = F.nullif(F.col("since"), F.lit(""))
+    given = F.try_to_timestamp(asked)
+    invalid = F.when(given.isNull(), asked)
     rows = requests.join(last_seen(entries).withColumnRenamed("agent", "a"), F.lower("agent") == F.col("a"), "left")
-    return rows.select("request_id", F.greatest(given, F.col("last_seen")).alias("cutoff"), F.when(F.col("since").isNotNull() & given.isNull(), "invalid since").when(F.col("last_seen") > given, "last seen is later").alias("note"))
+    note = F.when(invalid.isNull() & (F.col("agent") != "") & F.col("last_seen").isNull(), F.format_string('no prior work recorded by "%s" — showing everything', "agent"))
+    return rows.select("request_id", F.when(invalid.isNull(), F.greatest(given, F.col("last_seen"))).alias("cutoff"), note.alias("note"), invalid.alias("invalid_since"))
 
 
 def catch_up(entries: DataFrame) -> DataFrame:
-    """(agent, missed): for every agent, how many entries of others came after its own last one."""
+    """(agent, missed): for every agent, how many entries of others came after its own last one.
+
+    Entries are counted backwards by running sums, over the days and within each
+    day, at the agents' last entries; no pair of an agent and an entry becomes a row.
+    """
     own = entries.groupBy("agent").agg(F.max("at").alias("own"))
-    # entries after each moment, by counting backwards over the agents' last entries and all entries at once
-    days = F.date_trunc("day", "at")
-    counted = entries.withColumn("day", days)
+    per = entries.groupBy("at").agg(F.count("*").alias("e")).withColumn("day", F.date_trunc("day", "at"))
+    # totals of the days after; one row per day
     later = Window.orderBy(F.desc("day"))
-    per_day = counted.groupBy("day").agg(F.count("*").alias("n")).withColumn("after", F.sum("n").over(later) - F.col("n"))
-    same = own.withColumn("day", F.date_trunc("day", "own")).join(counted.select("day", "at"), "day").where("at > own").groupBy("agent").agg(F.count("*").alias("today"))
-    base = own.withColumn("day", F.date_trunc("day", "own")).join(per_day.select("day", "after"), "day", "left")
-    return base.join(same, "agent", "left").select("agent", (F.coalesce("after", F.lit(0)) + F.coalesce("today", F.lit(0))).alias("missed"))
+    days = per.groupBy("day").agg(F.sum("e").alias("n")).withColumn("after", F.sum("n").over(later) - F.col("n")).select("day", "after")
+    today = per.withColumn("today", F.sum("e").over(Window.partitionBy("day").orderBy(F.desc("at"))) - F.col("e"))
+    return own.join(today.join(days, "day").withColumnRenamed("at", "own"), "own", "left").select("agent", (F.coalesce("after", F.lit(0)) + F.coalesce("today", F.lit(0))).alias("missed"))
+
+
+def entry_line(rank: Column, agent: Column, task: Column, score: Column, findings: Column, files: Column, at: Column) -> Column:
+    return F.format_string("%d. [%s] %s (%s, %d findings, files: %s) — %s", rank, agent, task, score, findings, F.when(files == "", "none").otherwise(files), at)
+
+
+def deltas(entries: DataFrame) -> DataFrame:
+    """(agent, n, text): what each agent missed, entries after its own last one in order, as text; agents that missed nothing as well.
+
+    For the agents of one ledger, whose entries a cap bounds: a list per agent.
+    """
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    own = last_seen(entries)
+    later = own.join(entries.withColumnRenamed("agent", "other"), F.col("at") > F.col("last_seen"))
+    rank = F.row_number().over(Window.partitionBy("agent").orderBy("at", "entry_id"))
+    rows = later.withColumn("rank", rank).withColumn("line", entry_line(F.col("rank"), F.col("other"), F.col("task"), F.col("score"), F.col("findings_count"), F.col("file"), moment("at")))
+    sets = rows.groupBy("agent").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("body"))
+    origin = F.format_string("since %s last checked in (%s)", "agent", moment("last_seen"))
+    n = F.coalesce("n", F.lit(0))
+    text = F.when(n == 0, F.concat(F.lit("No work recorded "), origin, F.lit("."))).otherwise(F.concat(F.lit("Work "), origin, F.lit(" — "), n.cast("string"), F.when(n == 1, " new entry:\n").otherwise(" new entries:\n"), F.col("body")))
+    return own.join(sets, "agent", "left").select("agent", n.alias("n"), text.alias("text"))
 
 
 def lines(entries: DataFrame) -> DataFrame:

@@ -81,7 +81,11 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def chunks(prompts: DataFrame, most: int = 600) -> DataFrame:
-    """(audit_id, chunk, text): paragraphs, else sentences, else pieces of `most` characters, packed greedily."""
+    """(audit_id, chunk, text): paragraphs, else sentences, else pieces of `most` characters, packed greedily.
+
+    In a paragraph longer than `most`, a last sentence that ends in a mark and
+    no white space is lost, as the sentence pattern wants white space after it.
+    """
     text = F.trim(F.regexp_replace(F.col("prompt"), r"^\s+|\s+$", ""))
     paragraphs = F.filter(F.transform(F.split("t", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
@@ -89,7 +93,7 @@ def chunks(prompts: DataFrame, most: int = 600) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.substring(s, i * most + 1, F.lit(most)))
 
     def sentences(p: Column) -> Column:
-        found = F.regexp_extract_all(p, F.lit(r"[^.!?]+[.!?]+\s+|[^.!?]+$"), 0)
+        found = F.regexp_extract_all(p, F.lit(X.SENTENCES), 0)
         found = F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(p)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
         return F.flatten(F.transform(F.filter(found, lambda s: s != ""), lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(hard(s))))
 
@@ -106,6 +110,24 @@ def chunks(prompts: DataFrame, most: int = 600) -> DataFrame:
     return prompts.select("audit_id", text.alias("t")).withColumn("packed", packed).select("audit_id", F.posexplode(whole).alias("chunk", "text"))
 
 
+def with_replies(prompts: DataFrame, replies: DataFrame) -> DataFrame:
+    """Scopes of prompts (audit_id, prompt) from stored replies (audit_id, section, reply) of a model, with fell_back.
+
+    The sections of a reply that parse are merged in order, entries once each;
+    where none does, or there is no reply, the scope is extracted by patterns.
+    """
+    parsed = parse_json(replies).where("scope is not null")
+    names = {"files_allowed": "files", "features_allowed": "features", "endpoints_allowed": "endpoints", "deps_allowed": "deps", "env_allowed": "env", "behavioral_changes_allowed": "behavioral"}
+    parts = parsed.groupBy("audit_id").agg(F.array_sort(F.collect_list(F.struct("section", "scope"))).alias("parts"))
+    told = parts.select("audit_id", F.struct(*[F.array_distinct(F.flatten(F.transform("parts", _field(k)))).alias(n) for k, n in names.items()]).alias("told"))
+    rows = extract(prompts).join(told, "audit_id", "left")
+    return rows.select("audit_id", *[F.coalesce(F.col(f"told.{f}"), F.col(f)).alias(f) for f in FIELDS], F.col("told").isNull().alias("fell_back"))
+
+
+def _field(name: str):
+    return lambda s: s["scope"][name]
+
+
 def parse_json(replies: DataFrame, text: str = "reply") -> DataFrame:
     """replies with a column scope from a JSON reply, fenced or not, wrapped in {"scope": ...} or not; null where there is no object."""
     t = F.regexp_replace(F.regexp_replace(F.col(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```\s*$", "")

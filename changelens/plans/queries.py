@@ -73,7 +73,22 @@ def _ep(s: str) -> str:
 
 def _typo(t: str, s: str) -> str:
     short = f"least(length({t}), length({s}))"
-    return f"({t} <> '' and {s} <> '' and ({t} = {s} or ({t} not in {_list(X.COMMON_WORDS)} and {short} >= 4 and abs(length({t}) - length({s})) <= 2 and damerau_levenshtein({t}, {s}) <= case when {short} >= 7 then 2 else 1 end)))"
+    return f"({t} <> '' and {s} <> '' and ({t} = {s} or ({t} not in {_list(X.COMMON_WORDS)} and {short} >= 4 and abs(length({t}) - length({s})) <= 2 and case when {short} >= 7 then {_osa_two(t, s)} else damerau_levenshtein({t}, {s}) <= 1 end)))"
+
+
+def _osa_two(a: str, b: str) -> str:
+    """Whether optimal string alignment is 2 at most.
+
+    The unrestricted distance may also edit between two swapped characters,
+    which needs lengths that differ by one; there, a swap and a deletion count
+    only if the deleted character does not stand between the swapped ones.
+    """
+    long, short = (f"case when length({a}) >= length({b}) then {x} else {y} end" for x, y in ((a, b), (b, a)))
+    # i: the deleted place; the swapped ones are j and j + 1 of what is left
+    less = "substr(l, 1, i - 1) || substr(l, i + 1)"
+    swapped = f"substr({less}, 1, j - 1) || substr({less}, j + 1, 1) || substr({less}, j, 1) || substr({less}, j + 2)"
+    found = f"len(list_filter(range(1, length(l) + 1), lambda i: len(list_filter(range(1, length(l) - 1), lambda j: i - 1 <> j and ({swapped}) = r)) > 0)) > 0".replace("(l,", f"(({long}),").replace("(l)", f"(({long}))").replace("= r", f"= ({short})")
+    return f"(levenshtein({a}, {b}) <= 2 or (damerau_levenshtein({a}, {b}) <= 2 and (length({a}) = length({b}) or (abs(length({a}) - length({b})) = 1 and {found}))))"
 
 
 _SCAN = f"""lines as ({corpus.LINES}),
@@ -234,9 +249,11 @@ def _(spark, d):
     return _pairs(spark, d).where(T.fuzzy(F.col("item"), F.col("entry"))).select("item", "entry").distinct()
 
 
-@query("n04_alignment")
+@query("n04_alignment", f"with {_PAIRS} select item, entry, case when a = b then 0 when damerau_levenshtein(a, b) <= 1 then 1 when {_osa_two('a', 'b')} then 2 else 3 end as distance from (select distinct item, entry, {_norm('item')} as a, {_norm('entry')} as b from pairs)")
 def _(spark, d):
-    return _pairs(spark, d).select("item", "entry").distinct().withColumn("distance", T.osa(T.norm(F.col("item")), T.norm(F.col("entry"))))
+    """Distances as far as 2; 3 stands for all beyond."""
+    near = _pairs(spark, d).select("item", "entry").distinct().withColumn("a", T.norm(F.col("item"))).withColumn("b", T.norm(F.col("entry")))
+    return near.select("item", "entry", F.least(T.osa(F.col("a"), F.col("b")), F.lit(3)).alias("distance"))
 
 
 @query("n06_typo", f"with {_PAIRS} select distinct item, entry from (select item, entry, {_norm('item')} as a, {_norm('entry')} as b from pairs) where {_typo('b', 'a')}")
@@ -318,6 +335,8 @@ cover as (select s.*, case kind
  when 'symbol' then length(item) < 5 or {_FUZZY_IN(['features', 'behavioral', 'files'])} or exists (select 1 from inside n where n.audit_id = s.audit_id and n.item = s.item) or {_LEAF} end as covered from s)"""
 _RANK = "case kind " + " ".join(f"when '{k}' then {r}" for r, k in enumerate(["file", "dep", "env", "endpoint", "cron", "listener", "symbol"])) + " end"
 _KIND = "case kind " + " ".join(f"when '{k}' then '{n}'" for k, n in compare._KIND_OF.items()) + " end"
+#: The file that stands for a kind where no line has the evidence.
+_CODE_OF = "case kind " + " ".join(f"when '{k}' then '{f}'" for k, _, f in X.KINDS if f) + " end"
 _SEVERITY = "case kind " + " ".join(f"when '{k}' then '{next(s for n2, s, _ in X.KINDS if n2 == n)}'" for k, n in compare._KIND_OF.items()) + " end"
 _FINDINGS = f"""{_SURFACE}, {_ENTRIES},
 en as (select audit_id, field, entry, {_norm('entry')} as b, {_norm("regexp_replace(entry, '.*/', '')")} as leaf from entries),
@@ -367,10 +386,11 @@ def _(spark, d):
     return o.select(F.col("o_orderkey").alias("audit_id"), stores.prompt_of(file, title, F.lit("default")).alias("prompt"))
 
 
-@query("s08_scope_cache", f"with p as ({corpus.PROMPTS}), k as (select audit_id, substr(sha256('prov|m' || audit_id % 3 || '|' || prompt), 1, 32) as h from p), c as (select h, max_by('scope of ' || audit_id, audit_id) as cached_scope from k where audit_id % 2 = 0 group by 1) select audit_id, h as prompt_hash, cached_scope from k left join c using (h)")
+@query("s08_scope_cache", f"with p as ({corpus.PROMPTS}), k as (select audit_id, substr(sha256('prov|m' || audit_id % 3 || '|' || prompt), 1, 32) as h from p), c as (select h, max_by('scope of ' || audit_id, audit_id) as cached_scope from k where audit_id % 2 = 0 and audit_id % 8 <> 4 group by 1) select audit_id, h as prompt_hash, cached_scope from k left join c using (h)")
 def _(spark, d):
     rows = view(spark, d, "prompts").select("audit_id", "prompt", F.lit("prov").alias("provider"), F.concat(F.lit("m"), (F.col("audit_id") % 3).cast("string")).alias("model"))
-    cache = rows.where("audit_id % 2 = 0").select(stores.cache_key(F.col("provider"), F.col("model"), F.col("prompt")).alias("prompt_hash"), F.concat(F.lit("scope of "), F.col("audit_id").cast("string")).alias("scope"), F.col("audit_id").alias("cached_at"))
+    cache = rows.where("audit_id % 2 = 0").select(stores.cache_key(F.col("provider"), F.col("model"), F.col("prompt")).alias("prompt_hash"), F.concat(F.lit("scope of "), F.col("audit_id").cast("string")).alias("scope"), F.col("audit_id").alias("cached_at"), F.lit(False).alias("skipped"), (F.col("audit_id") % 8 == 4).alias("deterministic"))
+    cache = stores.cacheable(cache)
     return stores.with_cache(rows, cache).select("audit_id", "prompt_hash", "cached_scope")
 
 
@@ -380,9 +400,12 @@ def _(spark, d):
     return stores.gate(compare.scores(compare.findings(actual, _scope(spark, d)), actual), "high, medium")
 
 
-@query("s10_report", f"with {_FINDINGS} select audit_id, severity, count(*) as n from found group by 1, 2")
+_DETAIL = "case kind " + " ".join(f"when '{k}' then {_lit(lead)} || evidence || {_lit(end)}" for k, (lead, end) in X.DETAILS.items()) + " end"
+
+
+@query("s10_report", f"with {_FINDINGS}, r as (select *, row_number() over w as k, count(*) over (partition by audit_id, severity) as n from found window w as (partition by audit_id, severity order by ord)) select audit_id, severity, n, string_agg(kind || ': ' || {_DETAIL}, chr(10) order by ord) filter (where severity <> 'low' or n <= 5 or k <= 3) as shown from r group by 1, 2, 3")
 def _(spark, d):
-    return stores.report(_findings(spark, d)).select("audit_id", "severity", "n")
+    return stores.report(_findings(spark, d)).select("audit_id", "severity", "n", "shown")
 
 
 # --- B: impact rules -------------------------------------------------------------
@@ -473,7 +496,18 @@ def _(spark, d):
     return _extracted(spark, d).select("audit_id", F.array_join("features", "|").alias("items"))
 
 
-@query("l01_chunks")
+_TRIMMED = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    "l01_chunks",
+    f"with recursive d as (select doc_id as audit_id, {_TRIMMED('text')} as t from documents), g as (select audit_id, unnest(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda p: {_TRIMMED('p')}), lambda p: p <> '')) as p, generate_subscripts(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda p: {_TRIMMED('p')}), lambda p: p <> ''), 1) as i from d where length(t) > 600), "
+    f"s as (select audit_id, i, unnest(case when length(p) <= 600 then [p] when len(regexp_extract_all(p, {_lit(X.SENTENCES)})) = 0 then [p] else list_filter(list_transform(regexp_extract_all(p, {_lit(X.SENTENCES)}), lambda x: {_TRIMMED('x')}), lambda x: x <> '') end) as s, generate_subscripts(case when length(p) <= 600 then [p] when len(regexp_extract_all(p, {_lit(X.SENTENCES)})) = 0 then [p] else list_filter(list_transform(regexp_extract_all(p, {_lit(X.SENTENCES)}), lambda x: {_TRIMMED('x')}), lambda x: x <> '') end, 1) as j from g), "
+    "h as (select audit_id, i, j, unnest(range(0, (length(s) - 1) // 600 + 1)) as k, s from s), "
+    "n as (select audit_id, substr(s, k * 600 + 1, 600) as s, row_number() over (partition by audit_id order by i, j, k) as r from h), "
+    "f as (select audit_id, r, 0 as chunk, s as now, null::varchar as done from n where r = 1 union all select n.audit_id, n.r, f.chunk + (not fits)::int, case when fits then f.now || ' ' || n.s else n.s end, case when not fits then f.now end from (select f.*, length(f.now) + length(m.s) + 1 <= 600 as fits from f join n m on m.audit_id = f.audit_id and m.r = f.r + 1) f join n on n.audit_id = f.audit_id and n.r = f.r + 1), "
+    "z as (select audit_id, chunk, arg_max(now, r) as text from f group by 1, 2) select audit_id, chunk, text from z union all select audit_id, 0, t from d where t is null or audit_id not in (select audit_id from z)",
+)
 def _(spark, d):
     corpus.ship(spark)
     return scope.chunks(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("audit_id"), F.col("text").alias("prompt")))
@@ -534,10 +568,15 @@ def _(spark, d):
     return contracts.narrowing(*_contract_items(spark, d)).select("id", "expansions", "narrow", "advisory")
 
 
-@query("k07_expired", "select o_orderkey as id, 'contract.expired' as kind, 'high' as severity from orders where o_orderdate < timestamp '1995-01-01'")
+@query("k07_expired", f"select o_orderkey as id, 'contract.expired' as kind, 'high' as severity, printf({_lit(X.EXPIRED_DETAIL)}, substr(o_custkey::varchar, 1, 8), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')) as detail, 'expired ' || round((epoch(timestamp '1998-01-01') - epoch(o_orderdate)) / 60)::bigint || 'min ago' as evidence, 'HIGH' as score from orders where o_orderdate < timestamp '1998-01-01'")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("parent_expires_at"))
-    return contracts.expired(rows, F.lit("1995-01-01").cast("timestamp"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent_id"), F.col("o_orderdate").alias("parent_expires_at"))
+    return contracts.expired(rows, F.lit("1998-01-01").cast("timestamp"))
+
+
+@query("k09_expansion_findings", f"with {_BEYOND} select id, 'contract.expansion' as kind, 'high' as severity, printf({_lit(X.EXPANSION_DETAIL)}, item, field) as detail, field || '+=' || item as evidence, 'HIGH' as score from b where exists (select 1 from i p where p.id = b.parent_id)")
+def _(spark, d):
+    return contracts.expansion_findings(contracts.expansions(*_contract_items(spark, d)))
 
 
 @query("k01_scope_source", "select o_orderkey as audit_id, case when o_custkey % 3 = 0 then 'claim' when o_orderkey % 2 = 0 then 'override' else 'extraction' end as source, case when o_custkey % 3 = 0 then 'dsl' else 'inferred' end as mode, case when o_custkey % 3 = 0 then 1.0 else 0.85 end::double as confidence, o_custkey % 6 = 3 as claim_warning from orders")
@@ -626,19 +665,49 @@ def _(spark, d):
     return _folded(spark, d)[0].select("op_id", "outcome", "held_by")
 
 
-@query("f06_active_claims")
-def _(spark, d):
+_AS_OF = "2024-01-20 12:00:00"
+_HELD = _FOLD.removesuffix("select op_id, outcome, held_by from h where k > 0") + f"""
+, x as (select h.*, e.happened, e.agent, row_number() over (partition by h.root, h.file order by e.happened desc, h.op_id desc) as r from h join e using (op_id) where h.k > 0 and outcome in ('claimed', 'extended', 'released') and e.happened <= timestamp '{_AS_OF}'),
+held as (select root, file, agent, happened + interval 2 hours as expires_at from x where r = 1 and outcome <> 'released' and happened + interval 2 hours >= timestamp '{_AS_OF}')"""
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
     folded, events = _folded(spark, d)
-    as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
-    return claims.by_agent(claims.active(folded, events.where(F.col("at") <= as_of), as_of), as_of)
+    as_of = F.lit(_AS_OF).cast("timestamp")
+    return claims.active(folded, events.where(F.col("at") <= as_of), as_of)
+
+
+@query("f01_unexpired_claims", f"{_HELD} select root, file, agent, strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') as expires_at from held")
+def _(spark, d):
+    return _held(spark, d).select("root", "file", "agent", _moment("expires_at").alias("expires_at"))
 
 
-@query("f05_recent_touches", f"with {_L} select distinct r.entry_id as request_id, r.file, t.agent, 'touched' as why from l r join l t on r.file = t.file and r.agent <> t.agent and t.happened > r.happened - interval 1 hour and t.happened <= r.happened where r.entry_id % 4 = 0")
+@query("f03_released", f"{_FOLD.removesuffix('select op_id, outcome, held_by from h where k > 0')} select agent, count(*) as released from h join e using (op_id) where outcome = 'released' group by 1")
+def _(spark, d):
+    return claims.outcomes(_folded(spark, d)[0], "released")
+
+
+@query("f04_extended", f"{_FOLD.removesuffix('select op_id, outcome, held_by from h where k > 0')} select agent, count(*) filter (outcome = 'extended') as extended, count(*) filter (outcome = 'not_found') as not_found from h join e using (op_id) where outcome in ('extended', 'not_found') group by 1")
+def _(spark, d):
+    return claims.outcomes(_folded(spark, d)[0], "extended", "not_found")
+
+
+@query("f06_active_claims", f"{_HELD} select agent, count(*) as n_files, min(round((epoch(date_trunc('second', expires_at)) - epoch(timestamp '{_AS_OF}')) / 60)::bigint) as minutes_left, string_agg(root || '/' || file, ', ' order by root, file) as files from held group by 1")
+def _(spark, d):
+    return claims.by_agent(_held(spark, d).withColumn("file", F.concat("root", F.lit("/"), "file")), F.lit(_AS_OF).cast("timestamp"))
+
+
+@query(
+    "f05_recent_touches",
+    f"with {_L}, c as (select 'src/m' || (p_partkey % 23) || '.ts' as file, 'agent' || (p_partkey % 40) as agent, timestamp '2024-01-01' + to_hours((p_partkey % 700)::int) as expires_at from part) "
+    "select distinct r.entry_id as request_id, r.file, t.agent, 'touched' as why from l r join l t on r.file = t.file and r.agent <> t.agent and t.happened > r.happened - interval 1 hour and t.happened <= r.happened union select r.entry_id, r.file, c.agent, 'claimed' from l r join c on c.file = r.file and c.agent <> r.agent and c.expires_at >= r.happened and c.expires_at < r.happened + interval 2 hours",
+)
 def _(spark, d):
     entries = view(spark, d, "ledger")
-    requests = entries.where("entry_id % 4 = 0").select(F.col("entry_id").alias("request_id"), "file", "agent", "at")
-    none = entries.limit(0).select("file", "agent", F.col("at").alias("expires_at"))
-    return claims.conflicts(requests, none, entries.select("file", "agent", "task", "at"))
+    requests = entries.select(F.col("entry_id").alias("request_id"), "file", "agent", "at")
+    p = spark.read.parquet(f"{d}/part.parquet")
+    held = p.select(F.concat(F.lit("src/m"), (F.col("p_partkey") % 23).cast("string"), F.lit(".ts")).alias("file"), F.concat(F.lit("agent"), (F.col("p_partkey") % 40).cast("string")).alias("agent"), F.timestamp_add("HOUR", (F.col("p_partkey") % 700).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("expires_at"))
+    return claims.conflicts(requests, held, entries.select("file", "agent", "task", "at"), claim_hours=2)
 
 
 @query("u01_expiry", "select event_id, strftime(case event_id % 4 when 0 then ts + interval 30 minutes when 1 then ts + interval 3 hours when 2 then ts + interval 2 days else ts + interval 2 hours end, '%Y-%m-%d %H:%M:%S.%f') as expires from events")
@@ -654,26 +723,16 @@ def _scope_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select("op_id", "root", "agent", op.alias("op"), files.alias("files"), F.array(F.concat(F.lit("d"), (F.col("op_id") % 4).cast("string"))).alias("deps"), F.when(F.col("op_id") % 11 == 0, F.col("op_id") - 1).otherwise(F.lit(-1)).alias("parent"), "at")
 
 
-@query("z04_scope_claims")
-def _(spark, d):
-    return claims.fold_scope_claims(_scope_events(spark, d))
-
-
-@query("r01_conflict_records")
-def _(spark, d):
-    return claims.conflict_records(claims.fold_scope_claims(_scope_events(spark, d)))
-
-
-@query("i01_check_ins", f"with {_L} select agent, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') as moment, strftime(lag(happened) over (partition by agent order by happened), '%Y-%m-%d %H:%M:%S.%f') as previous from l where entry_id % 3 = 0")
+@query("i01_check_ins", f"with {_L} select agent, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') as moment, strftime(lag(happened) over (partition by agent order by happened), '%Y-%m-%d %H:%M:%S.%f') as previous from l")
 def _(spark, d):
-    rows = coordination.check_ins(view(spark, d, "ledger").where("entry_id % 3 = 0"))
+    rows = coordination.check_ins(view(spark, d, "ledger"))
     return rows.select("agent", _moment("at").alias("moment"), _moment("previous").alias("previous"))
 
 
-@query("i04_check_in_delta", f"with {_L}, c as (select agent, happened, lag(happened) over (partition by agent order by happened) as previous from l where entry_id % 3 = 0) select agent, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') as moment, previous is null as first, case when previous is null then (select count(*) from l where l.happened <= c.happened and lower(l.agent) <> lower(c.agent)) else (select count(*) from l where l.happened <= c.happened and l.happened > c.previous) end as n from c")
+@query("i04_check_in_delta", f"with {_L}, c as (select agent, happened, lag(happened) over (partition by agent order by happened) as previous from l) select agent, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') as moment, previous is null as first, case when previous is null then (select count(*) from l where l.happened <= c.happened and lower(l.agent) <> lower(c.agent)) else (select count(*) from l where l.happened <= c.happened and l.happened > c.previous) end as n from c")
 def _(spark, d):
     entries = view(spark, d, "ledger")
-    found = coordination.delta_counts(coordination.check_ins(entries.where("entry_id % 3 = 0")), entries)
+    found = coordination.delta_counts(coordination.check_ins(entries), entries)
     return found.select("agent", _moment("at").alias("moment"), "first", "n")
 
 
@@ -715,7 +774,7 @@ def _(spark, d):
 
 
 for _name, _key in {"w03_by_os": "os", "w04_by_version": "version", "w05_by_vendors": "vendors"}.items():
-    query(_name, f"with {_I} select {_key}, count(*) as count from i group by 1")(lambda spark, d, k=_key: telemetry.counts(view(spark, d, "inits"), k))
+    query(_name, f"with {_I} select {_key}, count(*) as count from i group by 1")(lambda spark, d, k=_key: telemetry.counts(view(spark, d, "inits"), k, by_key=k == "vendors"))
 
 
 @query("w06_recent", f"with {_I} select event_id, os, version from i order by received_at desc, event_id limit 20")
