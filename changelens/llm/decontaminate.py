@@ -4,14 +4,22 @@ Both sides are read as words (fmindex works on their numbers).  A window is
 WINDOW consecutive words of an item; an item of fewer words, but not none, is
 one window.  Each task indexes its documents shard by shard: words that no item
 has become separators, and a run of item words shorter than every window holds
-none, so it is left out of the index.  All windows are searched backwards at
-once; occurrences are located and their words marked, which merges the spans.
-
-Items come in blocks of at most BLOCK_BYTES of text, one after the other, so
-what a task holds of them is bounded; the result is the union over the blocks.
-Null text has no words, and an item with a null or no text has no windows.
-Items of equal id count once; null item ids are left out of the digest, and
-their windows still mark words.  An empty table of items marks nothing.
+none, so the index covers the other runs of the shard only, which loses no
+window.  All windows are searched backwards at once; occurrences are located by
+sampled positions and their words marked, which merges the spans.
+
+Items come in blocks of at most BLOCK_BYTES of text.  Each block is sent, its
+occurrences in all texts are written (a row for each text that has one), and it
+is given back before the next one is read, so neither the driver nor a task
+holds more than one block at any size of the benchmark.  Spans and items of one
+text are merged over the blocks and joined with the documents by a 128-bit
+fingerprint of the text.
+
+Null and empty text has no words, and an item with a null or no text has no
+windows.  Items of equal id count once; null item ids are left out of the
+digest, and their windows still mark words.  Rows of equal or null id are each
+judged by their own text.  The longest text sets the largest shard.  An empty
+table of items marks nothing, and an empty table of documents gives none.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textkernel as tk
 from .fmindex import Index
 
@@ -131,79 +140,112 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[
         yield Phrases(ids, texts, size)
 
 
-def _over_blocks(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, size: int):
-    """The broadcast blocks; more than one goes by files, so that the driver holds one at a time."""
-    return [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(items, item_id, item_text, size)]
+_SPANS = "array<struct<start: long, end: long>>"
+_HITS = f"t1 long, t2 long, spans {_SPANS}, items array<string>"
 
 
-def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans in words."""
-    sent = _over_blocks(docs, items, item_id, item_text, size)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
+def _search(sent):
+    """A row for each text that has a window of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
         for batch in batches:
-            for a, b, data, offsets in tk.pieces(*tk.buffers(batch.column(1)), SHARD_BYTES):
+            for a, b, data, offsets in tk.pieces(*tk.buffers(batch.column(2)), SHARD_BYTES):
                 hashes, _, _, counts = tk.words(data, offsets, tk.ALNUM)
-                hit, found = np.zeros(len(hashes), bool), [set() for _ in range(b - a)]
-                for block in sent:
-                    own, text, item = block.value.hits(hashes, counts)
-                    hit |= own
-                    for t, i in zip(text.tolist(), item.tolist(), strict=True):
-                        if block.value.item_ids[i] is not None:
-                            found[t].add(block.value.item_ids[i])
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                ends = np.cumsum(counts)
-                n_hit = sums[ends] - sums[ends - counts]
-                spans = [[] for _ in range(b - a)]
-                for t in np.flatnonzero(n_hit).tolist():
+                hit, text, item = block.hits(hashes, counts)
+                found: dict[int, set] = {}
+                for t, i in zip(text.tolist(), item.tolist(), strict=True):
+                    own = found.setdefault(t, set())
+                    if block.item_ids[i] is not None:
+                        own.add(block.item_ids[i])
+                ends, spans = np.cumsum(counts), []
+                at = sorted(found)
+                for t in at:
                     own = np.concatenate([[False], hit[ends[t] - counts[t] : ends[t]], [False]])
                     turns = np.flatnonzero(own[1:] != own[:-1]).tolist()
-                    spans[t] = [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(a, b - a), "n_words": pa.array(counts), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in found], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]), "contaminated": pa.array(n_hit > 0), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                })
+                    spans.append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)])
+                if at:
+                    rows = pa.array([a + t for t in at], pa.int64())
+                    yield pa.RecordBatch.from_pydict({"t1": batch.column(0).take(rows), "t2": batch.column(1).take(rows), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array([sorted(found[t]) for t in at], pa.list_(pa.string()))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """docs with the hit words, and what stands between words of one span, cut out of the texts; null stays null."""
-    sent = _over_blocks(docs, items, item_id, item_text, size)
-    place = docs.columns.index(text_col)
+def _prints(text_col: str) -> list:
+    text = F.col(text_col)
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, scratch: store.Scratch | None = None) -> DataFrame:
+    """(t1, t2, spans, items) of every distinct text that has a window: t1 and t2 fingerprint the text, spans are merged, in words, in order."""
+    scratch = scratch or store.Scratch()
+    t1, t2 = _prints(text_col)
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text")).where("text is not null")
+    every = None
+    for block in blocks(items, item_id, item_text, size):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        part = scratch.written(texts.mapInArrow(_search(sent), _HITS).dropDuplicates(["t1", "t2"]), "hits")
+        sent.destroy()
+        every = part if every is None else every.union(part)
+    # spans of several blocks overlap: each goes on to the farthest end so far
+    flat = F.array_sort(F.flatten(F.collect_list("spans")))
+    grown = lambda have, x: F.when((F.size(have) > 0) & (F.element_at(have, -1)["end"] >= x["start"]), F.concat(F.slice(have, 1, F.size(have) - 1), F.array(F.struct(F.element_at(have, -1)["start"].alias("start"), F.greatest(F.element_at(have, -1)["end"], x["end"]).alias("end"))))).otherwise(F.array_append(have, x))
+    sets = every.groupBy("t1", "t2").agg(flat.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
+    merged = F.when(F.col("n") == 1, F.col("spans")).otherwise(F.aggregate("spans", F.expr(f"cast(array() as {_SPANS})"), grown))
+    return scratch.written(sets.select("t1", "t2", merged.alias("spans"), "items"), "found")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offsets in tk.pieces(*tk.buffers(batch.column(3)), SHARD_BYTES):
+            own = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_pydict({"doc_id": own.column(0), "t1": own.column(1), "t2": own.column(2), "n_words": pa.array(tk.spans(data, offsets, tk.ALNUM)[2])})
+
+
+def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans in words."""
+    scratch = store.Scratch()
+    found = hits(docs, items, text_col, item_id, item_text, size, scratch)
+    t1, t2 = _prints(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text")).mapInArrow(_counted, "doc_id long, t1 long, t2 long, n_words long")
+    spans, own = F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")), F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = rows.join(found, ["t1", "t2"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.array_join(own, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), spans.alias("spans"))
+    return scratch.finish(out, "report")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """docs with the hit words, and what stands between words of one span, cut out of the texts; null stays null.
+
+    Texts that a sieve of the hit ones does not find stay where they are.
+    Columns of docs may have any names.
+    """
+    found = hits(docs, items, text_col, item_id, item_text, size)
+    names = store.fresh(docs.columns, "t1", "t2", "spans", "maybe")
+    t1, t2, spans, maybe = names
+    some = found.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(spans))
+    words = store.written(store.sieve(some.select(t1, t2)), "sieve")
+    a, b = _prints(text_col)
+    rows = store.sifted(docs.withColumn(t1, a).withColumn(t2, b), words, F.col(t1), F.col(t2), name=maybe)
+    doubtful = rows.where(F.col(maybe)).join(some, [t1, t2], "left").select(*docs.columns, spans)
+    own_names, schema = list(docs.columns), docs.schema
+    place = own_names.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(place)
-            for a, b, data, offsets in tk.pieces(*tk.buffers(column), SHARD_BYTES):
-                hashes, starts, ends, counts = tk.words(data, offsets, tk.ALNUM)
-                hit = np.zeros(len(hashes), bool)
-                for block in sent:
-                    hit |= block.value.hits(hashes, counts)[0]
-                part = batch.slice(a, b - a)
-                if not hit.any():
-                    yield part
-                    continue
-                text = np.repeat(np.arange(len(counts)), counts)
-                joined = hit & np.append(False, hit[:-1] & (text[1:] == text[:-1]))
-                first, last = np.flatnonzero(hit & ~joined), np.flatnonzero(hit & ~np.append(joined[1:], False))
-                cuts: dict[int, list] = {}
-                for x, y in zip(first.tolist(), last.tolist(), strict=True):
-                    cuts.setdefault(int(text[x]), []).append((int(starts[x]), int(ends[y])))
-                # the texts without a hit go on as they are, run by run
-                done = 0
-                for t in [*sorted(cuts), len(counts)]:
-                    if t > done:
-                        yield part.slice(done, t - done)
-                    if t < len(counts):
-                        at, parts = int(offsets[t]), []
-                        for x, y in cuts[t]:
-                            parts.append(data[at:x].tobytes())
-                            at = y
-                        now = b"".join([*parts, data[at : int(offsets[t + 1])].tobytes()]).decode()
-                        row = part.slice(t, 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([now], column.type) if i == place else c for i, c in enumerate(row.columns)], schema=batch.schema)
-                    done = t + 1
-
-    return docs.mapInArrow(run, docs.schema)
+            texts, out = batch.column(place), []
+            for row, own in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                text = texts[row].as_py()
+                if own:
+                    data, offsets = tk.buffers(texts.slice(row, 1))
+                    starts, ends, _ = tk.spans(data, offsets, tk.ALNUM)
+                    at, parts = 0, []
+                    for s in own:
+                        parts.append(data[at : int(starts[s["start"]])].tobytes())
+                        at = int(ends[s["end"] - 1])
+                    text = b"".join([*parts, data[at:].tobytes()]).decode()
+                out.append(text)
+            columns = [pa.array(out, texts.type) if i == place else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=own_names)
+
+    return rows.where(~F.col(maybe)).select(*docs.columns).unionByName(doubtful.mapInArrow(cut, schema))

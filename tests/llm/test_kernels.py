@@ -124,15 +124,34 @@ def test_exchange_finds_classes():
 
 def test_brown_sums_to_one():
     rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 20, (6, 6)).astype(float)
+    # four head words, the end and the rest in classes 0, 1, the end's and the rest's
+    pairs = rng.integers(5, 20, (6, 6)).astype(float)
+    own = np.array([0, 1, 0, 1, 2, 3])
+    one = np.zeros((6, 4))
+    one[np.arange(6), own] = 1
+    total = one.T @ pairs @ one
+    # of the rest's tokens, a word of 6 moves to class 1 and one of 4 to class 0
+    after, before = np.zeros((4, 4)), np.zeros((4, 4))
+    after[1], before[:, 1] = [1, 2, 1, 2], [2, 1, 1, 2]
+    after[0], before[:, 0] = [1, 1, 1, 1], [1, 1, 1, 1]
+    now = brown.spread(total, after, before)
+    assert abs(now.sum() - total.sum()) < 1e-9 and np.allclose(now.sum(0), total.sum(0) + [4, 6, 0, -10]) and np.allclose(now.sum(1), total.sum(1) + [4, 6, 0, -10])
     c = pairs.sum(0)
-    model = brown.Model(np.array([10, 20, 30, 40]), pairs, brown.exchange(pairs, 2), int(c.sum()), 5 + 3, int(c[4]), 2)
-    words = np.array([10, 20, 30, 40, 1, 2, 3, 99])  # three in the rest, one unseen
-    rest = np.array([c[5] - 2, 1, 1, 0])
-    own, inner = model.of(words, np.concatenate([c[:4], rest]))
-    own, inner = np.append(own, 2), np.append(inner, 1.0)
-    for before in range(4):
-        assert abs((model.follow[before][own] * inner).sum() - 1) < 1e-9
+    model = brown.Model(np.array([10, 20, 30, 40]), own, now, int(c.sum()), 5 + 5, int(c[4]), 3, 2)
+    words = np.array([10, 20, 30, 40, 1, 2, 3, 4, 5, 99])  # 1 and 2 are placed, three are rare, one unseen
+    counts = np.concatenate([c[:4], [6, 4], [c[5] - 12, 1, 1, 0]])
+    kind, inner = model.of(words, counts, np.array([-1] * 4 + [1, 0] + [-1] * 4))
+    assert kind.tolist() == [0, 1, 0, 1, 1, 0, 3, 3, 3, 3]
+    kind, inner = np.append(kind, 2), np.append(inner, 1.0)
+    for before_ in range(4):
+        assert abs((model.follow[before_][kind] * inner).sum() - 1) < 1e-9
+
+
+def test_placing_words():
+    # class 0 follows class 1 and the other way round; a word that follows 0 and comes before 0 belongs to 1
+    total = np.array([[2.0, 50, 1, 1], [50, 2, 1, 1], [1, 1, 0, 0], [1, 1, 0, 0]])
+    found = brown.place(np.array([[9.0, 0, 0, 0], [0, 9, 0, 1]]), np.array([[9.0, 0, 0, 0], [0, 9, 1, 0]]), total, total.sum(0), 2)
+    assert found.tolist() == [1, 0]
 
 
 def test_embedding_blocks():
