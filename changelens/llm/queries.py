@@ -63,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
-    return found.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 as held_out", "score", f"cast(score >= {toxicity.THRESHOLD} as int) as predicted")
+    return found.selectExpr("doc_id", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false) as held_out", "score", f"cast(score >= {toxicity.THRESHOLD} as int) as predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_token_files, op3_embedding_duplicates, op4_line_dedup, op5_repeated_passages, op6_brown_scores, op7_decontamination, op8_secrets, op9_packing, op10_toxicity)}

@@ -20,8 +20,11 @@ rows of least hash of the document id, whatever the size of the corpus, and rows
 of over SAMPLE_BYTES bytes are left out of it.
 
 Null text counts as empty.  A text without words scores as the mean ordinary
-text.  Rows of equal or null id are scored each for itself.  Where the labels
-lack either class, every score is 0.
+text.  Rows of equal or null id are scored each for itself, and equal texts get
+equal scores; rows of null id are never learned from, and of an id with several
+labels one counts.  A text is never divided, so the longest one sets the memory
+of a task.  Where the labels lack either class, every score is 0.  An empty
+table gives an empty result.  Kept columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textkernel as tk
 
 STEM, CODE, WINDOW = 5, 16, 24
@@ -201,10 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(*dictionaries(np.ones(len(y), bool)), w, plain.mean(0) if len(plain) else np.zeros(6))
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (the id if none are named), then score, one row per row of docs."""
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns in keep (the id if none are named), then the score under `name`, one row per row of docs."""
     keep = keep or [id_col]
-    schema = docs.select(*keep).schema.add("score", "double")
+    own = store.fresh([*keep, name], "text")[0]
+    schema = docs.select(*keep).schema.add(name, "double")
+    names = [*keep, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = None
@@ -217,6 +223,6 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     x[~full] = model.plain
                     out.append(1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model.weights, -35, 35))))
             found = np.concatenate(out) if out else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias(own)).mapInArrow(run, schema)
