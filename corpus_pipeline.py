@@ -18,7 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from `labels`."""
     ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = store.fresh(docs.columns, "score")[0]
+    return toxicity.score(docs, model, keep=docs.columns, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
