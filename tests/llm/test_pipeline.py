@@ -31,3 +31,23 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, d)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(seen["decontamination"])
     assert pieces.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_stages_with_columns_of_any_name(spark, tmp_path):
+    names = ["score", "text_", "__text", "lines_in", "lines_removed", "tie", "__tie", "t1", "t2", "spans", "maybe", "h", "word", "bits", "own", "other", "kept", "n", "id", "component_id"]
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd e f g"), (2, "x\na\nb\nc"), (2, "x\na\nb\nc"), (None, "l3 and more"), (None, None), (3, ""), (3, "l3 and more")], "doc_id long, text string")
+    docs = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "l3")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    seen = {}
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, some, d)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert all(r[n] == f"own {n}" for r in rows for n in names)
+            seen.setdefault(name, sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows))
+    assert len(seen["toxicity"]) == len(seen["line dedup"]) == len(seen["decontamination"]) == 7
+    assert seen["near-duplicates"].count((False, 2, "x\na\nb\nc")) == 1 and (False, 2, "x") in seen["line dedup"]
+    assert (False, 3, " and more") in seen["decontamination"] and (True, 0, " and more") in seen["decontamination"]
