@@ -114,6 +114,18 @@ def test_minimizers_and_chains():
     assert passages.align(a, b) == (100, 101, 99)
 
 
+def test_minimizers_of_few_grams():
+    # fewer grams in all than a window has: each text has one window, and its least gram is its seed
+    rng = random.Random(6)
+    for counts in ([n] for n in range(passages.K + passages.WINDOW + 2)):
+        words = np.array([rng.getrandbits(63) for _ in range(sum(counts))], np.uint64)
+        grams, have = passages.tk.shingles(words, np.array(counts), passages.K)
+        seed, text, at = passages.minimizers(words, np.array(counts))
+        n = len(words) - passages.K + 1
+        want = sorted({int(i + np.argmin(grams[i : i + passages.WINDOW])) for i in range(max(n - passages.WINDOW, 0) + 1)}) if n > 0 else []
+        assert at.tolist() == want and seed.tolist() == [grams[i] for i in want] and text.tolist() == [0] * len(want)
+
+
 def test_exchange_finds_classes():
     # words 0-3 follow 4-7 and the other way round
     pairs = np.zeros((10, 10))
