@@ -13,12 +13,20 @@ agree too seldom for a similar pair (about five standard deviations) are dropped
 where they meet, without a join, and the others are confirmed on full sets.
 Every text first meets its NEAREST best candidates; candidates that these links
 do not join yet are all confirmed after that, so groups of many copies cost a
-few comparisons per text and components lose nothing.  Rows that had more than
-WIDTH rows of their prefix beside them stand in a crowded region; they are
-sorted once more, and each takes up to WIDE rows before it that share DEEP
-hashes (a pair at the least similarity does in some order with a chance of
-0.992) and that no link has joined with it, so what is already one component
-leaves room for others.
+few comparisons per text and components lose nothing.
+
+Rows that had more than WIDTH rows of their prefix beside them stand in a crowded
+region, where WIDTH rows are not all.  There, all rows that share DEEP hashes in an
+order are one bucket (a pair at the least similarity is in one with a chance of
+0.9998), whole and without a limit: every pair of a bucket that no link joins yet
+and whose signatures agree often enough is confirmed on its full sets.  As the
+sets stand beside each other for that, a bucket gives links that join components
+and no pairs, fewer than it has rows.  Rows that agree with many come first, so a
+text that all others of a group are copies of joins them at once.  Pairs that meet
+in several orders are compared in the first.  Orders go in ROUNDS, each on what is
+still apart after the last.  Only a region of many texts that are alike, but too
+little to link, costs the square of its rows in CPU; a bucket's sets are dealt to
+tasks in pairs of blocks of _ROOM shingles, which bounds the memory of a task.
 
 The texts are read twice and never shuffled: once for signatures, and once for
 the full sets of the texts that have a candidate, which a sieve of bounded size
@@ -39,13 +47,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, store
 from . import textkernel as tk
 
-TREES, DEPTH, WIDTH, WIDE, FLOOR, DEEP = 16, 12, 3, 24, 2, 6
+TREES, DEPTH, WIDTH, FLOOR, DEEP = 16, 12, 3, 2, 4
+#: Orders whose buckets are compared together.
+ROUNDS = (range(2), range(2, 6), range(6, TREES))
 NEAREST = 3
 #: Similarity of 0.8 and over, as 100 * intersection >= 80 * union.
 PERCENT = 80
@@ -54,6 +65,8 @@ _STEP = 6
 _HASHES = TREES * _STEP
 #: Rows that the last pass over edges takes in one task.
 _ONE = 1 << 16
+#: Shingles of a block of rows; a task holds the sets of two blocks (or of one text, if that has more).
+_ROOM = 1 << 20
 #: 5 standard deviations below the mean number of agreeing hashes at 0.8.
 _AGREE = int(0.8 * _HASHES - 5 * (_HASHES * 0.8 * 0.2) ** 0.5)
 _U = np.uint64
@@ -86,6 +99,14 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def heads(signs: np.ndarray) -> np.ndarray:
+    """32 bits for the first DEEP hashes of each order; chance hits only add pairs to compare."""
+    out = np.zeros((len(signs), TREES), np.uint64)
+    for d in range(DEEP):
+        out = tk.mix(out * _U(0x9E3779B97F4A7C15) + signs[:, (np.arange(TREES) * _STEP + d) % _HASHES])
+    return out.astype(np.uint32)
+
+
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,27 +121,28 @@ def _features(k: int):
                         sums[full] = np.add.reduceat(tk.mix(found ^ _U(salt << 52)), first)
                     keys.append(pa.array(sums.view(np.int64)))
                 signs = signatures(found, sizes)
-                key, low = [None] * len(sizes), [None] * len(sizes)
+                tops = heads(signs)
+                key, low, top = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
                 for i, at in enumerate(np.flatnonzero(full).tolist()):
-                    key[at], low[at] = signs[i].astype(">u4").tobytes(), signs[i].astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "tie": batch.column(2).slice(a, b - a), "n": pa.array(sizes), "k1": keys[0], "k2": keys[1], "trees": pa.array(key, pa.binary()), "low": pa.array(low, pa.binary())})
+                    key[at], low[at], top[at] = signs[i].astype(">u4").tobytes(), signs[i].astype(np.uint8).tobytes(), tops[i].tobytes()
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "tie": batch.column(2).slice(a, b - a), "n": pa.array(sizes), "k1": keys[0], "k2": keys[1], "trees": pa.array(key, pa.binary()), "low": pa.array(low, pa.binary()), "heads": pa.array(top, pa.binary())})
 
     return run
 
 
-def _neighbours(edges: bool, width: int, depth: int):
-    """Pairs of each row and the `width` rows before it that share `depth` hashes, are not joined with it and agree often enough.
+def _neighbours(edges: bool):
+    """Pairs of each row and the WIDTH rows before it that share FLOOR hashes and agree often enough.
 
     Besides (tree -1) the rows whose window was full, and with edges the rows at both ends of the partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(a, **have) -> pa.RecordBatch:
-            types = {"b": pa.int64(), "agree": pa.int32(), "root": pa.int64(), "tree": pa.int32(), "key": pa.binary(), "low": pa.binary()}
+            types = {"b": pa.int64(), "agree": pa.int32(), "tree": pa.int32(), "key": pa.binary(), "low": pa.binary()}
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64())} | {c: pa.array(have.get(c, [None] * len(a)), t) for c, t in types.items()})
 
-        def ends(tree, key, doc, root, low) -> pa.RecordBatch:
-            return block(doc, root=root, tree=tree, key=[x.tobytes() for x in key], low=[x.tobytes() for x in low])
+        def ends(tree, key, doc, low) -> pa.RecordBatch:
+            return block(doc, tree=tree, key=[x.tobytes() for x in key], low=[x.tobytes() for x in low])
 
         tail: tuple | None = None
         head = 0
@@ -129,58 +151,193 @@ def _neighbours(edges: bool, width: int, depth: int):
                 continue
             tree = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             key = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH)
-            doc, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            low = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, _HASHES)
-            if edges and head < width:
-                yield ends(*(x[: width - head] for x in (tree, key, doc, root, low)))
+            doc = batch.column(2).to_numpy(zero_copy_only=False)
+            low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, _HASHES)
+            if edges and head < WIDTH:
+                yield ends(*(x[: WIDTH - head] for x in (tree, key, doc, low)))
                 head += len(doc)
             if tail:
-                tree, key, doc, root, low = (np.concatenate(x) for x in zip(tail, (tree, key, doc, root, low), strict=True))
+                tree, key, doc, low = (np.concatenate(x) for x in zip(tail, (tree, key, doc, low), strict=True))
             old = len(tail[0]) if tail else 0
-            for step in range(1, min(width, len(doc) - 1) + 1):
+            for step in range(1, min(WIDTH, len(doc) - 1) + 1):
                 start = max(old, step)
                 same = tree[start:] == tree[start - step : len(tree) - step]
-                for d in range(depth):
+                for d in range(FLOOR):
                     same &= key[start:, d] == key[start - step : len(key) - step, d]
-                if step == width and same.any():
-                    full = np.flatnonzero(same) + start
-                    full = np.unique(np.concatenate([doc[full], doc[full - step]]))
+                at = np.flatnonzero(same) + start
+                if step == WIDTH and len(at):
+                    full = np.unique(np.concatenate([doc[at], doc[at - step]]))
                     yield block(full, tree=np.full(len(full), -1))
-                at = np.flatnonzero(same & (root[start:] != root[start - step : len(root) - step])) + start
+                at = at[doc[at] != doc[at - step]]
                 agree = (low[at] == low[at - step]).sum(1)
                 at, agree = at[agree >= _AGREE], agree[agree >= _AGREE]
                 if len(at):
                     x, y = doc[at], doc[at - step]
                     yield block(np.minimum(x, y), b=np.maximum(x, y), agree=agree)
-            tail = tuple(x[-width:] for x in (tree, key, doc, root, low))
+            tail = tuple(x[-WIDTH:] for x in (tree, key, doc, low))
         if edges and tail:
             yield ends(*tail)
 
     return run
 
 
-_FOUND = "a long, b long, agree int, root long, tree int, key binary, low binary"
+_FOUND = "a long, b long, agree int, tree int, key binary, low binary"
 
 
-def candidates(reps: DataFrame, width: int = WIDTH, depth: int = FLOOR, scratch: store.Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of representatives (doc_id, trees, low, root) of unlike root that are neighbours in some tree, with the hashes they agree in (agree); and the ids (doc_id) whose window was full."""
-    scratch = scratch or store.Scratch()
+def candidates(reps: DataFrame, scratch: store.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of representatives (doc_id, trees, low) that are neighbours in some tree, with the hashes they agree in (agree); and the ids (doc_id) whose window was full."""
     place = [F.struct(F.lit(t).alias("tree"), F.expr(f"substring(concat(trees, trees), {t * _STEP * 4 + 1}, {DEPTH * 4})").alias("key")) for t in range(TREES)]
-    rows = reps.select(F.explode(F.array(*place)).alias("k"), "doc_id", "root", "low").select("k.tree", "k.key", "doc_id", "root", "low").repartitionByRange("tree", "key", "doc_id")
+    rows = reps.select(F.explode(F.array(*place)).alias("k"), "doc_id", "low").select("k.tree", "k.key", "doc_id", "low").repartitionByRange("tree", "key", "doc_id")
     found: list[DataFrame] = []
     while True:
-        found.append(scratch.written(rows.sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_neighbours(True, width, depth), _FOUND), "neighbours"))
-        ends = found[-1].where("b is null and tree >= 0").select("tree", "key", F.col("a").alias("doc_id"), "root", "low").distinct()
+        found.append(scratch.written(rows.sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_neighbours(True), _FOUND), "neighbours"))
+        ends = found[-1].where("b is null and tree >= 0").select("tree", "key", F.col("a").alias("doc_id"), "low").distinct()
         n = ends.count()
         if n <= _ONE:
             break
         # a few rows for each partition, so each pass has a small part of the last one's
         rows = ends.repartitionByRange(-(-n // _ONE), "tree", "key", "doc_id")
-    found.append(scratch.written(ends.repartition(1).sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_neighbours(False, width, depth), _FOUND), "edges"))
+    found.append(scratch.written(ends.repartition(1).sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_neighbours(False), _FOUND), "edges"))
     every = reduce(DataFrame.union, found)
     return scratch.written(every.where("b is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates"), every.where("tree = -1").select(F.col("a").alias("doc_id")).distinct()
 
 
+def _agreement(low: np.ndarray, p: int) -> np.ndarray:
+    """In how many hashes each row agrees with row p."""
+    return np.bitwise_count(np.packbits(low == low[p], axis=1).view(np.uint32)).sum(1)
+
+
+def _agreeing(low: np.ndarray, tops: np.ndarray, group: np.ndarray, p: int, tree: int) -> np.ndarray:
+    """The rows of other groups that agree with row p often enough and meet it in no tree before this one."""
+    near = (_agreement(low, p) >= _AGREE) & (group != group[p])
+    at = np.flatnonzero(near)
+    return at[(tops[at, :tree] != tops[p, :tree]).all(1)]
+
+
+def _central(low: np.ndarray) -> np.ndarray:
+    """All rows, those first that agree most with 64 rows all over the bucket (which only sets the order of work)."""
+    some = np.unique(np.linspace(0, len(low) - 1, 64).astype(np.int64))
+    return np.argsort(-sum(_agreement(low, p) for p in some).astype(np.int64), kind="stable")
+
+
+def partnered(low: np.ndarray, tops: np.ndarray, group: np.ndarray, tree: int) -> np.ndarray:
+    """Which rows of a bucket have a row of another group that _agreeing finds."""
+    flag = np.zeros(len(low), bool)
+    most = group == np.bincount(group).argmax()
+    # each such pair has a row outside the largest group
+    few = 2 * int((~most).sum()) < len(low)
+    for p in _central(low):
+        if most[p] if few else flag[p]:
+            continue
+        at = _agreeing(low, tops, group, p, tree)
+        if len(at):
+            flag[at] = flag[p] = True
+            if flag.all():
+                break
+    return flag
+
+
+def joining(shingles: list[np.ndarray], low: np.ndarray, tops: np.ndarray, group: np.ndarray, tree: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of a bucket that make of its groups what all its links would."""
+    sizes = np.array([len(x) for x in shingles])
+    first = np.cumsum(sizes) - sizes
+    word = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    own = np.zeros(int(word.max()) + 1, np.int32)
+    most = group == np.bincount(group).argmax()
+    group = group.copy()
+    out = []
+    for i, p in enumerate(_central(low)):
+        # each pair between groups has a row outside the largest one; a few of its rows may join many at once
+        if most[p] and i >= 16:
+            continue
+        at = _agreeing(low, tops, group, p, tree)
+        at = at[100 * np.minimum(sizes[at], sizes[p]) >= percent * np.maximum(sizes[at], sizes[p])]
+        if not len(at):
+            continue
+        mine = word[first[p] : first[p] + sizes[p]]
+        own[mine] = 1
+        shared = np.add.reduceat(own[word[tk.gather(first[at], sizes[at])]], np.cumsum(sizes[at]) - sizes[at])
+        own[mine] = 0
+        at = at[100 * shared >= percent * (sizes[at] + sizes[p] - shared)]
+        if len(at):
+            joined, which = np.unique(group[at], return_index=True)
+            out += [(int(p), int(q)) for q in at[which]]
+            group[np.isin(group, joined)] = group[p]
+            if (group == group[0]).all():
+                break
+    return out
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each key (the first columns) that has several roots, of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for c in range(keys):
+            column = batch.column(c)
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        root = batch["root"].to_numpy()
+        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        several[0] = several[-1] = True  # they may go on in other batches
+        for a, b in zip(starts[several].tolist(), np.append(starts[1:], batch.num_rows)[several].tolist(), strict=True):
+            key = tuple(batch.column(c)[a].as_py() for c in range(keys))
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _parts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes, heads, groups (one for each root) and tree of the rows of a bucket."""
+    low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(-1, _HASHES)
+    tops = np.frombuffer(b"".join(rows["heads"].to_pylist()), np.uint32).reshape(-1, TREES)
+    return low, tops, np.unique(rows["root"].to_numpy(), return_inverse=True)[1], rows["tree"][0].as_py()
+
+
+_UNIT = "tree int, key binary, i int, j int, doc_id long, root long, low binary, heads binary"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket (tree, key) that have a partner of another root, dealt into pairs of blocks i, j."""
+    for rows in _buckets(batches, 2):
+        low, tops, group, tree = _parts(rows)
+        at = np.flatnonzero(partnered(low, tops, group, tree))
+        if not len(at):
+            continue
+        most = group[at] == np.bincount(group[at]).argmax()
+        order = np.argsort(most, kind="stable")
+        at, most = at[order], most[order]
+        block = np.unique(np.cumsum(rows["n"].to_numpy()[at]) // _ROOM, return_inverse=True)[1]
+        last, lone = int(block[-1]), int(block[~most][-1])
+        # every pair of groups has a row in the blocks up to lone
+        for i in range(lone + 1):
+            for j in range(i + 1, last + 1) if last else (0,):
+                some = rows.take(pa.array(at[(block == i) | (block == j)]))
+                for c, x in (("i", i), ("j", j)):
+                    some = some.append_column(c, pa.array(np.full(len(some), x, np.int32)))
+                yield from some.select([c.split()[0] for c in _UNIT.split(", ")]).combine_chunks().to_batches(1 << 14)
+
+
+def _joining(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches, 4):
+            doc = rows["doc_id"].to_numpy()
+            low, tops, group, tree = _parts(rows)
+            found = joining([np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()], low, tops, group, tree, percent)
+            x, y = (doc[[f[k] for f in found]] if found else doc[:0] for k in (0, 1))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    return run
+
+
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,17 +373,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = store.Scratch()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tied = texts.withColumn("tie", F.xxhash64("text"))
-    rows = scratch.written(tied.mapInArrow(_features(k), "doc_id long, tie long, n long, k1 long, k2 long, trees binary, low binary"), "features")
+    rows = scratch.written(tied.mapInArrow(_features(k), "doc_id long, tie long, n long, k1 long, k2 long, trees binary, low binary, heads binary"), "features")
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     ids = classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    reps = scratch.written(rows.where("n > 0").join(ids, "doc_id", "left_semi").select("doc_id", "trees", "low"), "representatives")
+    reps = scratch.written(rows.where("n > 0").join(ids, "doc_id", "left_semi").select("doc_id", "n", "trees", "low", "heads"), "representatives")
 
     def confirmed(some: DataFrame, full: DataFrame) -> DataFrame:
         sides = some.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         return scratch.written(sides.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        words = scratch.written(store.sieve(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "sieve")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        words = scratch.written(store.sieve(ids), "sieve")
         some = store.sifted(texts, words, F.col("doc_id")).where("maybe").select("doc_id", "text")
         return scratch.written(some.mapInArrow(_set_rows(k), "doc_id long, shingles binary").distinct(), "sets")
 
@@ -236,8 +393,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             some = some.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         return some.where("ra != rb").select("a", "b")
 
-    pairs, full_rows = candidates(reps.withColumn("root", F.col("doc_id")), WIDTH, FLOOR, scratch)
-    full = sets_of(pairs)
+    pairs, full_rows = candidates(reps, scratch)
+    full = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     ends = pairs.select("a", "b", "agree", F.col("a").alias("own")).union(pairs.select("a", "b", "agree", F.col("b").alias("own")))
     best = Window.partitionBy("own").orderBy(F.desc("agree"), F.xxhash64("a", "b"))
     first = scratch.written(ends.withColumn("k", F.row_number().over(best)).where(F.col("k") <= NEAREST).select("a", "b").distinct(), "nearest")
@@ -248,13 +405,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(more)
         root = graph.components(links, scratch=scratch)
 
-    # crowded regions once more, with room for rows that are not joined yet
-    known = reps.join(full_rows, "doc_id", "left_semi").join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "trees", "low", F.coalesce("root", "doc_id").alias("root"))
-    wide = scratch.written(candidates(known, WIDE, DEEP, scratch)[0].join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "crowded")
-    if not wide.isEmpty():
-        more = confirmed(wide.select("a", "b"), sets_of(wide))
+    # buckets of crowded regions, whole
+    crowded = scratch.written(reps.join(full_rows, "doc_id", "left_semi").select("doc_id", "n", "low", "heads"), "crowded")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for trees in ROUNDS:
+        now = crowded.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        place = [F.struct(F.lit(t).alias("tree"), F.expr(f"substring(heads, {4 * t + 1}, 4)").alias("key")) for t in trees]
+        members = now.select(F.explode(F.array(*place)).alias("k"), *now.columns).select("k.tree", "k.key", *now.columns)
+        units = scratch.written(members.repartition(tasks, "tree", "key").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_units, _UNIT), "units")
+        if units.isEmpty():
+            continue
+        missing = scratch.written(units.select("doc_id").distinct().join(full, "doc_id", "left_anti"), "missing")
+        if not missing.isEmpty():
+            full = full.union(sets_of(missing).join(missing, "doc_id", "left_semi"))
+        beside = units.join(full, "doc_id").select("tree", "key", "i", "j", "doc_id", "root", "low", "heads", "shingles")
+        more = scratch.written(beside.repartition(tasks, "tree", "key", "i", "j").sortWithinPartitions("tree", "key", "i", "j").mapInArrow(_joining(percent), "a long, b long"), "confirmed")
         if not more.isEmpty():
-            root = graph.components(links.union(more), scratch=scratch)
+            links = links.union(more)
+            root = graph.components(links, scratch=scratch)
     found = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "tie", "n", "k1", "k2").join(found, ["k1", "k2", "n"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return scratch.finish(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "tie"), "judged")

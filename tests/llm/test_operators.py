@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,38 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert sum(found[i].component_id != i for i in range(1500)) <= 20 * len(want)
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    # the same components whatever the blocks that a bucket is dealt in
+    r = random.Random(72)
+    base = prose(100, 73).split()
+    texts = [set(r.sample(range(100), 4)) for _ in range(120)]
+    rows = [[f"b{i}x{k}" if k in at else w for k, w in enumerate(base)] for i, at in enumerate(texts)]
+    rows += [[w if k != 50 else f"c{i}" for k, w in enumerate(t)] for i, t in enumerate(rows)]
+    sets, sizes = minhash.sets(*minhash.tk.buffers(minhash.pa.array([" ".join(t) for t in rows])), 4)
+    sets = np.split(sets, np.cumsum(sizes)[:-1])
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    want = list(range(len(rows)))
+    for a, b in links:
+        want = [min(want[a], want[b]) if x in (want[a], want[b]) else x for x in want]
+    signs = minhash.signatures(np.concatenate(sets), sizes)
+    low, tops = signs.astype(np.uint8), minhash.heads(signs)
+    monkeypatch.setattr(minhash, "_AGREE", 0)
+    for room in (1 << 20, 2000):
+        monkeypatch.setattr(minhash, "_ROOM", room)
+        n = len(rows)
+        table = minhash.pa.RecordBatch.from_pydict({"tree": np.zeros(n, np.int32), "key": [b"k"] * n, "doc_id": np.arange(n), "root": np.arange(n), "n": sizes, "low": [x.tobytes() for x in low], "heads": [x.tobytes() for x in tops]})
+        units = list(minhash._units(iter([table.slice(0, 50), table.slice(50)])))
+        assert (len({(b["i"][0].as_py(), b["j"][0].as_py()) for b in units}) > 1) == (room == 2000)
+        got = list(range(n))
+        for unit in units:
+            full = unit.append_column("shingles", minhash.pa.array([sets[i].tobytes() for i in unit["doc_id"].to_pylist()]))
+            for found in minhash._joining(80)(iter([full])):
+                for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True):
+                    assert (max(a, b), min(a, b)) in links
+                    got = [min(got[a], got[b]) if x in (got[a], got[b]) else x for x in got]
+        assert got == want and len(set(want)) < n
+
+
 def test_sieve(spark):
     from changelens.llm import store
 
