@@ -65,6 +65,20 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert sum(found[i].component_id != i for i in range(1500)) <= 20 * len(want)
 
 
+def test_near_duplicates_of_one_text(spark):
+    # 3000 texts that are 0.85 like one text and 0.72 like each other, so links lead to that one only
+    base = prose(200, 70).split()
+
+    def variant(seed, at):
+        return " ".join(f"v{seed}x{i}" if i in at else w for i, w in enumerate(base))
+
+    r = random.Random(71)
+    rows = [(0, "own " * 8), (3500, " ".join(base))] + [(1 + i, variant(i, set(r.sample(range(4, 196), 4)))) for i in range(3000)]
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), k=4))
+    assert found[0].component_id == 0
+    assert sum(found[1 + i].component_id == found[3500].component_id for i in range(3000)) >= 0.99 * 3000
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     # the same components whatever the blocks that a bucket is dealt in
     r = random.Random(72)
