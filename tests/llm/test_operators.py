@@ -111,6 +111,25 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
         assert got == want and len(set(want)) < n
 
 
+def test_near_duplicates_write_few_rows(spark, monkeypatch):
+    # texts that are about 0.72 alike and hardly link: rows of every table stay in proportion to the texts
+    base, made = prose(200, 74).split(), {}
+    r = random.Random(75)
+    texts = [set(r.sample(range(200), 4)) for _ in range(1000)]
+    rows = [(i, " ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base))) for i, at in enumerate(texts)]
+    write = minhash.store.Scratch.written
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash.store.Scratch, "written", counted)
+    assert minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).count() == 1000
+    # 16 orders, each with three pairs, and the ids of both ends of a full window
+    assert max(made.values()) <= 16 * 5 * 1000, made
+
+
 def test_sieve(spark):
     from changelens.llm import store
 
