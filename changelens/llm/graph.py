@@ -1,8 +1,10 @@
 """Connected components of a graph of links, without any large group in one task.
 
 Links are first contracted within each partition (a union-find over the rows of
-one task), then large-star and small-star steps alternate until nothing
-changes.  Least neighbours are found by partial sums, and the joins that follow
+one task).  Up to ONE links then meet in one task, which ends it; of more, large-star
+and small-star steps alternate until nothing changes or so few are left.  Either
+way is exact.  Links that come later only contract the roots that they lead to
+(`joined`), so work follows the new links.  Least neighbours are found by partial sums, and the joins that follow
 have a unique side, so Spark can split the rows of a node with many links.
 Each step is written to the shared folder, which cuts lineage.
 """
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from . import store
 
 _PAIR = "a long, b long"
+#: Links that one task contracts (a few MB).
+ONE = 1 << 16
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +66,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b", scratch: store.Scra
     seen = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            if scratch:
-                scratch.tables.append(now)
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        old, seen = now, state
-        now = store.written(_small_star(_large_star(now)), "links")
-        store.drop(old)
+        few = state[0] <= ONE
+        if state != seen and state[0]:
+            old, seen = now, state
+            now = store.written(now.repartition(1).mapInArrow(_contract, _PAIR) if few else _small_star(_large_star(now)), "links")
+            store.drop(old)
+            if not few:
+                continue
+        if scratch:
+            scratch.tables.append(now)
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def at_roots(links: DataFrame, root: DataFrame) -> DataFrame:
+    """The links (a, b) whose ends have different roots, with those (ra, rb)."""
+    for side in ("a", "b"):
+        links = links.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return links.where("ra != rb")
+
+
+def joined(root: DataFrame, more: DataFrame, scratch: store.Scratch) -> DataFrame:
+    """What components() would return of the links that gave root and of more."""
+    moved = components(at_roots(more, root), "ra", "rb", scratch)
+    tops = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # an old root has no row in root, so each node comes once
+    return scratch.written(root.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(moved), "roots")

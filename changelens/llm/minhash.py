@@ -387,23 +387,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = store.sifted(texts, words, F.col("doc_id")).where("maybe").select("doc_id", "text")
         return scratch.written(some.mapInArrow(_set_rows(k), "doc_id long, shingles binary").distinct(), "sets")
 
-    def apart(some: DataFrame, root: DataFrame) -> DataFrame:
-        """The pairs that no links join yet."""
-        for side in ("a", "b"):
-            some = some.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-        return some.where("ra != rb").select("a", "b")
-
     pairs, full_rows = candidates(reps, scratch)
     full = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     ends = pairs.select("a", "b", "agree", F.col("a").alias("own")).union(pairs.select("a", "b", "agree", F.col("b").alias("own")))
     best = Window.partitionBy("own").orderBy(F.desc("agree"), F.xxhash64("a", "b"))
     first = scratch.written(ends.withColumn("k", F.row_number().over(best)).where(F.col("k") <= NEAREST).select("a", "b").distinct(), "nearest")
-    links = confirmed(first, full)
-    root = graph.components(links, scratch=scratch)
-    more = confirmed(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), root), full)
+    root = graph.components(confirmed(first, full), scratch=scratch)
+    more = confirmed(graph.at_roots(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), root).select("a", "b"), full)
     if not more.isEmpty():
-        links = links.union(more)
-        root = graph.components(links, scratch=scratch)
+        root = graph.joined(root, more, scratch)
 
     # buckets of crowded regions, whole
     crowded = scratch.written(reps.join(full_rows, "doc_id", "left_semi").select("doc_id", "n", "low", "heads"), "crowded")
@@ -421,8 +413,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         beside = units.join(full, "doc_id").select("tree", "key", "i", "j", "doc_id", "root", "low", "heads", "shingles")
         more = scratch.written(beside.repartition(tasks, "tree", "key", "i", "j").sortWithinPartitions("tree", "key", "i", "j").mapInArrow(_joining(percent), "a long, b long"), "confirmed")
         if not more.isEmpty():
-            links = links.union(more)
-            root = graph.components(links, scratch=scratch)
+            root = graph.joined(root, more, scratch)
     found = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "tie", "n", "k1", "k2").join(found, ["k1", "k2", "n"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return scratch.finish(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "tie"), "judged")

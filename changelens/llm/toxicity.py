@@ -161,6 +161,13 @@ def curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """A model from labelled rows whose crc32(doc_id as text) mod 4 is not 2; None where a class is missing."""
+    try:
+        return _fit(docs, labels, id_col, text_col, label_col, sample)
+    finally:
+        store.release()  # the driver lives on
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> Model | None:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").dropDuplicates(["doc_id"])
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)

@@ -65,6 +65,27 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert sum(found[i].component_id != i for i in range(1500)) <= 20 * len(want)
 
 
+def test_components_in_few_steps(spark, monkeypatch):
+    # a long chain, dealt at random: few links end in one task, more in stars; later links only move roots
+    from changelens.llm import store
+
+    r, made, write = random.Random(76), [], store.written
+    nodes = r.sample(range(10_000), 900)
+    links = list(zip(nodes[:599], nodes[1:600], strict=True)) + list(zip(nodes[600:899], nodes[601:900], strict=True))
+    r.shuffle(links)
+    table = spark.createDataFrame(links, "a long, b long").repartition(6)
+    more = spark.createDataFrame([(nodes[5], nodes[700]), (nodes[3], nodes[9]), (20_000, 20_001)], "a long, b long")
+    want = {n: min(nodes) for n in nodes} | {20_001: 20_000}
+    monkeypatch.setattr(store, "written", lambda df, name: made.append(name) or write(df, name))
+    for one in (graph.ONE, 0):
+        monkeypatch.setattr(graph, "ONE", one)
+        made.clear()
+        root = graph.components(table)
+        assert one == 0 or len(made) <= 2, made
+        got = {x.node: x.root for x in graph.joined(root, more, store.Scratch()).collect()}
+        assert got == {n: t for n, t in want.items() if n != t}
+
+
 def test_near_duplicates_of_one_text(spark):
     # 3000 texts that are 0.85 like one text and 0.72 like each other, so links lead to that one only
     base = prose(200, 70).split()
